@@ -33,7 +33,7 @@ LOOKALIKES = (
     ("ouvp", "ουνρ"),  # Greek small
     ("cCj", "ϲϹϳ"),  # Greek lunate sigma, yot
     ("oghnqO", "օցհոզՕ"),  # Armenian
-    ("gil", "ɡıӏ"),  # Latin script g, dotless i, Cyrillic palochka
+    ("l", "ӏ"),  # Cyrillic palochka
 )
 
 #: Invisible besides the format characters: fixed values of Default_Ignorable_Code_Point outside category Cf.
