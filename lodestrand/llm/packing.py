@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import scratch_path
+from ..runtime import materialise, scratch_path
 
 CAPACITY = 2048
 
@@ -104,7 +104,9 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> Dat
     """(key, piece, n_tokens, container), one row per item or piece."""
     spark = items.sparkSession
     path = scratch_path(spark, "sorted-items")
-    cut = pieces(items.select(key, F.col(size).alias("_size")), "_size", capacity)
+    # sized once: a range sort reads its input twice, for its bounds and for its rows
+    sized = materialise(items.select(key, F.col(size).alias("_size")), "sized-items")
+    cut = pieces(sized, "_size", capacity)
     # range-sorted, largest first; a row's place in its file and the file's number make its rank
     ranged = cut.repartitionByRange(F.col("n_tokens").desc(), F.xxhash64(key, "piece"))
     ranged.sortWithinPartitions(F.col("n_tokens").desc(), key, "piece").withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
