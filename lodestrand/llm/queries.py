@@ -9,6 +9,7 @@ from ..runtime import table
 from .bpe import VOCABULARY, count_tokens, encode_corpus
 from .keyledger import KeyLedger, digest_key
 from .lookalike import lookalike_pairs, visual_form
+from .sentences import split_sentences
 from .packing import CAPACITY, fill_report, pack
 
 
@@ -84,7 +85,11 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(_packed(spark, sf_dir), CAPACITY)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p4_found, p4_forms, p6_ids, p7_containers, p7_fill)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_sentences(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p4_found, p4_forms, p6_ids, p7_containers, p7_fill, p8_found)}
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
 
