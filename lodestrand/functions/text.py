@@ -25,3 +25,8 @@ def digest_bytes(c: Column) -> Column:
     """The 32 bytes a digest cell names, null if it isn't 64 hex digits."""
     t = trimmed(c)
     return F.when((F.length(t) == 64) & t.rlike("^[0-9a-fA-F]+$"), F.unhex(t))
+
+
+def whole_division(a: Column, b: Column) -> Column:
+    """Integer division of longs."""
+    return F.call_function("div", a, b)

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import found
+from . import found, merge_queries
+
+_REGISTRIES = [merge_queries.query]
 
 QUERIES = {**found.QUERIES}
 ORACLES = {**found.ORACLES}
+for _registry in _REGISTRIES:
+    QUERIES |= _registry.queries
+    ORACLES |= _registry.oracles
