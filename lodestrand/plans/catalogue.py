@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import found, merge_queries
+from . import access_queries, delta_queries, found, merge_queries, ops_queries, scan_queries
 
-_REGISTRIES = [merge_queries.query]
+_REGISTRIES = [merge_queries.query, scan_queries.query, delta_queries.query, access_queries.query, ops_queries.query]
 
 QUERIES = {**found.QUERIES}
 ORACLES = {**found.ORACLES}
