@@ -135,3 +135,11 @@ def lookalike_pairs(paths: DataFrame) -> DataFrame:
     a = many.select("folder", "form", F.col("path").alias("path_a"))
     b = many.select("folder", "form", F.col("path").alias("path_b"))
     return two.unionByName(a.join(b, ["folder", "form"]).where("path_a < path_b").select("folder", "path_a", "path_b"))
+
+
+def lookalike_classes(paths: DataFrame) -> DataFrame:
+    """(folder, path, form, n_links): every path with its class, the visual form, and how many other paths of its folder share it."""
+    named = paths.where(F.col("folder").isNotNull() & F.col("path").isNotNull()).select("folder", "path").distinct()
+    formed = named.select("folder", "path", visual_form("path").alias("form"))
+    sizes = formed.groupBy("folder", "form").agg((F.count("*") - 1).alias("n_links"))
+    return formed.join(sizes, ["folder", "form"]).select("folder", "path", "form", "n_links")

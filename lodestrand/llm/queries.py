@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..runtime import table
 from .bpe import VOCABULARY, count_tokens, encode_corpus
 from .keyledger import KeyLedger, digest_key
-from .lookalike import lookalike_pairs, visual_form
+from .lookalike import lookalike_classes, lookalike_pairs
 from .sentences import split_sentences
 from .packing import CAPACITY, fill_report, pack
 
@@ -64,9 +64,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike_pairs(_all_paths(spark, sf_dir))
 
 
-def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every path with its visual form."""
-    return _all_paths(spark, sf_dir).select("path").where("path IS NOT NULL").distinct().select("path", visual_form("path").alias("form"))
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every path with its visual form and the number of its look-alikes."""
+    return lookalike_classes(_all_paths(spark, sf_dir))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +89,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p4_found, p4_forms, p6_ids, p7_containers, p7_fill, p8_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p4_found, p4_classes, p6_ids, p7_containers, p7_fill, p8_found)}
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
 
