@@ -29,7 +29,7 @@ def changed_revisions(view: DataFrame, seen: DataFrame, key: str, revision: str)
 
 
 def run_batch(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Drive a stream over all that is there into a table in memory: for small inputs, as tests."""
+    """Drive a stream over all that is there into a table in memory: for small inputs, as tests, and for streams without timers, which never end."""
     writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
     if checkpoint:
         writer = writer.option("checkpointLocation", checkpoint)
