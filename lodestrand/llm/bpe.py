@@ -134,6 +134,8 @@ class PairIndex:
 
 def _spread(lists: dict[int, list[np.ndarray]], at: np.ndarray, ranks: np.ndarray) -> list[int]:
     """Add positions, sorted by rank, to the ranks' lists; the ranks that had none."""
+    if not len(at):
+        return []
     edges = np.flatnonzero(np.r_[True, ranks[1:] != ranks[:-1]])
     new = []
     for i, j in zip(edges.tolist(), [*edges[1:].tolist(), len(ranks)], strict=True):
