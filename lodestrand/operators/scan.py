@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions.display import retry_delay_ms
+from .ranking import number_rows
 
 STATE = ("kind", "size", "content_hash", "readonly")
 FINGERPRINT = ("kind", "size", "modified_ns", "readonly")
@@ -47,20 +48,9 @@ def deletions(previous: DataFrame, current: DataFrame, keys: Sequence[str], move
 
 
 def counter_assignment(changes: DataFrame, group: Sequence[str], base: Column) -> DataFrame:
-    """Consecutive counters: kept paths in path order, then deletions in path order.
-
-    Numbered without one sort of a whole group: rows are numbered within buckets of the group's path order, and the
-    buckets' sizes give the offsets.
-    """
-    late = (F.col("change") == "deleted").cast("int")
-    bucket = F.substring(F.col("path"), 1, 2)
-    rows = changes.withColumn("_late", late).withColumn("_b", bucket)
-    within = Window.partitionBy(*group, "_late", "_b").orderBy("path")
-    numbered = rows.withColumn("_n", F.row_number().over(within))
-    sizes = rows.groupBy(*group, "_late", "_b").agg(F.count("*").alias("_size"))
-    before = Window.partitionBy(*group).orderBy("_late", "_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
-    return numbered.join(offsets, [*group, "_late", "_b"]).withColumn("counter", (base + F.col("_offset") + F.col("_n")).cast("bigint")).drop("_late", "_b", "_n", "_offset")
+    """Consecutive counters: kept paths in path order, then deletions in path order."""
+    rows = changes.withColumn("_late", (F.col("change") == "deleted").cast("int"))
+    return number_rows(rows, group, ["_late", "path"], "_n").withColumn("counter", (base + F.col("_n")).cast("bigint")).drop("_late", "_n")
 
 
 def reuse_hashes(previous: DataFrame, current: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -89,12 +89,10 @@ def actions_to_reach(spark, sf_dir):
   FROM (SELECT *, CASE WHEN action = 'delete' THEN 0 WHEN kind = 'directory' THEN 1 ELSE 2 END AS phase FROM act)"""
 )
 def apply_order(spark, sf_dir):
-    """A pass is one job's work, so its actions are numbered together."""
-    from pyspark.sql import Window
+    from ..operators.ranking import number_rows
 
     ordered = M.apply_order(M.actions_to_reach(local(spark, sf_dir), remote(spark, sf_dir), KEYS))
-    at = F.row_number().over(Window.partitionBy("pass_id").orderBy("phase", "rank_depth", "path"))
-    return ordered.select("pass_id", "path", "action", "phase", at.cast("bigint").alias("position"))
+    return number_rows(ordered, ["pass_id"], ["phase", "rank_depth", "path"], "position").select("pass_id", "path", "action", "phase", "position")
 
 
 @query(_ACT + "SELECT pass_id, count(*) AS actions, count(*) FILTER (action = 'delete') AS deletions, CAST(coalesce(sum(size) FILTER (action = 'materialize' AND kind = 'file'), 0) AS BIGINT) AS pending_bytes FROM act GROUP BY ALL")

@@ -176,3 +176,30 @@ def test_display(spark):
     df = spark.createDataFrame([(0,), (1023,), (1024,), (1536,), (5 << 40,)], "n long")
     got = [r[0] for r in df.select(D.format_bytes(F.col("n"))).collect()]
     assert got == ["0 bytes", "1023 bytes", "1.0 KiB (1024 bytes)", "1.5 KiB (1536 bytes)", f"5.0 TiB ({5 << 40} bytes)"]
+
+
+def test_numbers_over_many_files(spark):
+    from lodestrand.operators.ranking import number_rows
+
+    rows = [(g, (i * 37) % 500) for g in ("a", None) for i in range(500)] + [("tiny", 1)]
+    df = spark.createDataFrame(rows, "g string, v int").repartition(5)
+    got = {(r["g"], r["v"]): r["n"] for r in number_rows(df, ["g"], ["v"], "n").collect()}
+    assert len(got) == 1001 and all(n == (1 if g == "tiny" else v + 1) for (g, v), n in got.items())
+    assert number_rows(df.limit(0), ["g"], ["v"], "n").count() == 0
+
+
+def test_deletions_keep_what_could_not_be_read(spark):
+    schema = "folder string, snap_no int, path string, tombstone boolean"
+    before = spark.createDataFrame([("f", 2, p, False) for p in ("a", "b", "dir/c", "dir/sub/d", "dir-old", "moved")] + [("f", 2, "dead", True)], schema)
+    after = spark.createDataFrame([("f", 2, "a", False), ("f", 2, "b", True)], schema)
+    keys = ["folder", "snap_no", "path"]
+    moved = before.where("path = 'moved'").select(*keys)
+    unread = spark.createDataFrame([("f", 2, "dir")], "folder string, snap_no int, prefix string")
+    assert sorted(r["path"] for r in scan.deletions(before, after, keys, moved, unread).collect()) == ["b", "dir-old"]
+
+
+def test_namespace_issues(spark):
+    rows = snapshot(spark, [("a", "file", "x", False, []), ("a/b", "file", "x", False, []), ("Dir/x", "file", "x", False, []), ("dir/y", "file", "x", False, []), ("s", "symlink", None, False, []), ("S", "symlink", None, True, [])])
+    got = sorted((r["path"], r["issue"]) for r in merge.namespace_issues(rows, KEYS, collision_key("path")).collect())
+    assert got == [("Dir", "collision"), ("a/b", "ancestor"), ("dir", "collision"), ("s", "kind")]
+    assert sorted(r["path"] for r in merge.missing_ancestors(rows, KEYS).collect()) == ["Dir", "a", "dir"]
