@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import records as R
+from ..runtime import cut
 
 ROW = ("kind", "size", "content_hash", "readonly", "tombstone", "vv", "vtext")
 
@@ -70,16 +71,16 @@ def name_copies(conflicts: DataFrame, occupied: DataFrame, keys: Sequence[str])
         taken = occupied.select(*group, F.col("path").alias("conflict_path"))
         return named.join(taken, [*group, "conflict_path"], "left_anti").groupBy(*keys).agg(F.min_by("conflict_path", "rank").alias("conflict_path"))
 
-    first = free(kept, tokens)
+    first = cut(free(kept, tokens))
     rest = kept.join(first, list(keys), "left_anti")
-    return first.unionByName(free(rest, serials))
+    return first if rest.isEmpty() else first.unionByName(free(rest, serials))
 
 
 def merge(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(records, conflicts). records: the merged snapshot incl. copies; conflicts: path, copy, hashes and reason."""
     out = outcomes(left, right, keys)
     group = [k for k in keys if k != "path"]
-    conflict = resolved(out)
+    conflict = cut(resolved(out))  # the few rows that five branches read
     occupied = left.select(*keys).unionByName(right.select(*keys)).distinct()
     copies = name_copies(conflict, occupied, keys)
     settled = out.where(~F.col("outcome").isin("equal_clock_divergence", "concurrent_edit"))
