@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from ..runtime import spread
+
 #: Path of the vocabulary; executors read it too.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -257,7 +259,7 @@ def encode_corpus(documents: DataFrame, vocabulary: str = VOCABULARY, key: str =
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], names=[key, "ids"])
 
-    return documents.select(key, text).mapInArrow(run, f"{key} {dict(documents.dtypes)[key]}, ids array<int>")
+    return spread(documents.select(key, text)).mapInArrow(run, f"{key} {dict(documents.dtypes)[key]}, ids array<int>")
 
 
 def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -270,4 +272,4 @@ def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY, key: str =
             for i, j in _slices(texts):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(code.count(texts[i:j]))], names=[key, "n_tokens"])
 
-    return documents.select(key, text).mapInArrow(run, f"{key} {dict(documents.dtypes)[key]}, n_tokens long")
+    return spread(documents.select(key, text)).mapInArrow(run, f"{key} {dict(documents.dtypes)[key]}, n_tokens long")

@@ -40,7 +40,7 @@ class KeyLedger:
         self.name = f"ledger_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE {self.name} (key BINARY, first_order BIGINT, batch INT) USING parquet "
-            f"CLUSTERED BY (key) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
+            f"CLUSTERED BY (key) INTO {self.buckets} BUCKETS LOCATION '{self.path.replace(chr(39), chr(92) + chr(39))}'"
         )
         self.batches = 0
 
