@@ -53,6 +53,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where the files alone give fewer tasks than there are cores; else as they are, without a shuffle."""
+    """Rows over all cores where the files alone give fewer tasks than there are cores; else as they are, without a shuffle.
+
+    Only for plans without an exchange: to ask others for their partitions would run them, and they are spread already.
+    """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
