@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.display import source_cost_ms
+from ..runtime import materialise
 
 
 def provider_counts(missing: DataFrame, availability: DataFrame) -> DataFrame:
@@ -47,33 +48,64 @@ class Limits:
 def greedy_schedule(missing: DataFrame, availability: DataFrame, peers: DataFrame, limits: Limits = Limits(), group: str = "job") -> DataFrame:
     """(group, seq, hash, peer): rarest first, each from its cheapest provider that has room.
 
-    One pass takes at most max_assignments hashes, so a group's offers are bounded before they meet in one task: of the
-    hashes that have providers the rarest max_assignments * max_sources are looked at, and of each of those the
-    cheapest max_sources * 4 providers, as many as the limits can use up.
+    All hashes are gone through, in rounds. A round takes each group's next max_assignments hashes that a provider with
+    room holds; what it passes over has none, and never will have, since peers only fill up and sources only get fixed.
+    A group stops when it has max_assignments, or has no such hash left. Whoever isn't a source yet is chosen only as
+    cheapest of a hash, so a round needs, of each of its hashes, those peers that are sources or among the max_sources
+    cheapest of any of them. A round that doesn't end a group has filled a peer or the sources: max_sources + 2 rounds at most.
     """
     cost = source_cost_ms(F.col("rtt_ms"), F.col("queued_bytes"), F.col("goodput_bps"), F.col("failure_penalty"))
     offers = missing.select(group, "hash").distinct().join(availability.distinct(), "hash").join(peers.withColumn("cost", cost).select("peer", "cost"), "peer")
     rarity = offers.groupBy(group, "hash").agg(F.count("*").alias("providers"))
-    first = F.row_number().over(Window.partitionBy(group).orderBy("providers", "hash"))
-    rare = rarity.withColumn("_r", first).where(F.col("_r") <= limits.max_assignments * limits.max_sources).drop("_r")
-    near = F.row_number().over(Window.partitionBy(group, "hash").orderBy("cost", "peer"))
-    taken = offers.join(rare, [group, "hash"]).withColumn("_n", near).where(F.col("_n") <= limits.max_sources * 4).drop("_n")
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
+    kinds = {**dict(missing.dtypes), **dict(peers.dtypes)}
+    # the assignments so far, each with where its group stands: (_providers, _hash) was its last hash, _open if it goes on
+    shape = f"{group} {kinds[group]}, seq long, hash {kinds['hash']}, peer {kinds['peer']}, _providers long, _hash {kinds['hash']}, _open boolean"
+    state = missing.sparkSession.createDataFrame([], shape)
+    if min(limits.max_sources, limits.max_chunks_per_peer, limits.max_assignments) < 1:
+        return state.select(group, "seq", "hash", "peer")
+
+    def assign(so_far: pd.DataFrame, offered: pd.DataFrame) -> pd.DataFrame:
+        so_far = so_far.sort_values("seq")
         used: dict = {}
-        rows = []
-        for (_, h), offer in pdf.sort_values(["providers", "hash", "peer"]).groupby(["providers", "hash"], sort=False):
+        for p in so_far["peer"]:
+            used[p] = used.get(p, 0) + 1
+        rows = list(zip(so_far["hash"], so_far["peer"], strict=True))
+        hashes = 0
+        for (n, h), offer in offered.sort_values(["providers", "hash", "peer"]).groupby(["providers", "hash"], sort=False):
             if len(rows) >= limits.max_assignments:
                 break
             open_ = [(c + used.get(p, 0), used.get(p, 0), p) for c, p in zip(offer["cost"], offer["peer"], strict=True) if used.get(p, 0) < limits.max_chunks_per_peer and (p in used or len(used) < limits.max_sources)]
             if open_:
                 p = min(open_)[2]
                 used[p] = used.get(p, 0) + 1
-                rows.append((pdf[group].iloc[0], len(rows), h, p))
-        return pd.DataFrame(rows, columns=[group, "seq", "hash", "peer"])
-
-    kinds = {**dict(missing.dtypes), **dict(peers.dtypes)}
-    return taken.groupBy(group).applyInPandas(assign, f"{group} {kinds[group]}, seq long, hash {kinds['hash']}, peer {kinds['peer']}")
+                rows.append((h, p))
+            hashes, last = hashes + 1, (n, h)
+        if not hashes:
+            return so_far.assign(_open=False)
+        goes_on = hashes == limits.max_assignments and len(rows) < limits.max_assignments
+        name = offered[group].iloc[0]
+        return pd.DataFrame([(name, i, h, p, *last, goes_on) for i, (h, p) in enumerate(rows)], columns=so_far.columns)
+
+    rated = materialise(offers.join(rarity, [group, "hash"]), "offers")
+    feasible, used = rated, None
+    while True:
+        first = F.row_number().over(Window.partitionBy(group).orderBy("providers", "hash"))
+        rare = feasible.select(group, "providers", "hash").distinct().withColumn("_r", first).where(F.col("_r") <= limits.max_assignments)
+        offered = feasible.join(rare.select(group, "hash"), [group, "hash"], "left_semi")
+        near = F.row_number().over(Window.partitionBy(group, "hash").orderBy("cost", "peer"))
+        able = offered.withColumn("_n", near).where(F.col("_n") <= limits.max_sources).select(group, "peer")
+        able = (able.unionByName(used) if used is not None else able).distinct()
+        offered = offered.join(able, [group, "peer"], "left_semi").select(*rated.columns)
+        state = materialise(state.groupBy(group).cogroup(offered.groupBy(group)).applyInPandas(assign, shape), "schedule")
+        going = state.where("_open")
+        if going.isEmpty():
+            return state.select(group, "seq", "hash", "peer")
+        stands = going.groupBy(group).agg(F.first("_providers").alias("_providers"), F.first("_hash").alias("_hash"), (F.count_distinct("peer") >= limits.max_sources).alias("_full"))
+        counts = going.groupBy(group, "peer").agg(F.count("*").alias("_used"))
+        used = counts.select(group, "peer")
+        beyond = rated.join(stands, group).where((F.col("providers") > F.col("_providers")) | ((F.col("providers") == F.col("_providers")) & (F.col("hash") > F.col("_hash"))))
+        room = (F.col("_used") < limits.max_chunks_per_peer) | (F.col("_used").isNull() & ~F.col("_full"))
+        feasible = beyond.join(counts, [group, "peer"], "left").where(room).select(*rated.columns)
 
 
 def fill_rounds(assignments: DataFrame, outcomes: DataFrame) -> DataFrame:

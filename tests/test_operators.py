@@ -157,6 +157,47 @@ def test_schedule_keeps_its_limits(spark):
     assert len(rows) == 18 and len(used) <= 4 and max(used.values()) <= 5 and 999 not in {r["hash"] for r in rows}
 
 
+def _plain_schedule(missing, avail, peers, limits):
+    """The rule as one loop over all hashes of one job."""
+    holders = {}
+    for p, h in avail:
+        holders.setdefault(h, []).append(p)
+    used, rows = {}, []
+    for h in sorted(missing, key=lambda h: (len(holders.get(h, ())), h)):
+        if len(rows) >= limits.max_assignments:
+            break
+        able = [(peers[p] + used.get(p, 0), used.get(p, 0), p) for p in holders.get(h, ()) if used.get(p, 0) < limits.max_chunks_per_peer and (p in used or len(used) < limits.max_sources)]
+        if able:
+            p = min(able)[2]
+            used[p] = used.get(p, 0) + 1
+            rows.append((h, p))
+    return rows
+
+
+def test_schedule_goes_through_all_hashes(spark):
+    limits = swarm.Limits(2, 8, 12)
+    peers = {p: (p * 13) % 17 for p in range(40)} | {99: 500}
+    sets = {
+        # the two sources hold none of the next hundred hashes, but many later ones
+        0: [(0, 0), (1, 1)] + [(2 + h % 30, h) for h in range(2, 102)] + [(p, h) for h in range(200, 300) for p in (0, 3)] + [(p, h) for h in range(400, 420) for p in (1, 2, 3)],
+        # the only source with room is dearer than all other providers of a hash
+        1: [(99, 0), (99, 1), (0, 2)] + [(p, h) for h in range(3, 30) for p in [*range(1, 40), 99]],
+        # as they come
+        2: [(p, h) for h in range(500) for p in range(40) if (p * 31 + h * h * 7) % 97 < 1 + h % 9],
+        # nothing is left after a few
+        3: [(0, h) for h in range(80)] + [(1, h) for h in range(20)],
+    }
+    jobs = spark.createDataFrame([(j, h + 1000 * j) for j, held in sets.items() for h in {h for _, h in held}], "job long, hash long")
+    avail = spark.createDataFrame([(p, h + 1000 * j) for j, held in sets.items() for p, h in held], "peer long, hash long")
+    costs = spark.createDataFrame([(p, c, 0, 1, 0) for p, c in peers.items()], "peer long, rtt_ms long, queued_bytes long, goodput_bps long, failure_penalty long")
+    got = {}
+    for r in swarm.greedy_schedule(jobs, avail, costs, limits).orderBy("job", "seq").collect():
+        got.setdefault(r["job"], []).append((r["hash"] - 1000 * r["job"], r["peer"]))
+        assert r["seq"] == len(got[r["job"]]) - 1
+    assert got == {j: _plain_schedule({h for _, h in held}, held, peers, limits) for j, held in sets.items()}
+    assert swarm.greedy_schedule(jobs, avail, costs, swarm.Limits(0, 8, 12)).count() == 0
+
+
 def test_retries_and_counters(spark):
     events = spark.createDataFrame([(1, i, f) for i, f in enumerate([True, True, False, True, True, True])], "k int, t int, bad boolean")
     got = [(r["t"], r["attempts"], r["delay_ms"]) for r in scan.failure_runs(events, "k", ["t"], F.col("bad")).orderBy("t").collect()]
