@@ -2,7 +2,9 @@
 
 Candidates are all end marks of the spoken text (see ``subtitles``), with the closing quotation mark behind
 them; marks within a quotation are none. Each candidate is classified by a maximum-entropy model: neighbouring
-tokens, case, length, digits, script, kind of break, quotation and verbs of speech. Two families of features
+tokens, case, length, digits, script, kind of break, quotation and verbs of speech. A full stop whose blank was
+lost, as in "the net.Lunfa left", is a candidate too; one within a number, between dotted letters (p.m., Ph.D.)
+or in an advert's address is none. Two families of features
 are fitted together, one with letter case and one without, the latter for texts all in capitals or small
 letters. The training rows are the corpus's own reliable boundaries: candidates whose surroundings settle
 them, as a small letter behind the mark in a text of mixed case, an initial before a name, a question mark
@@ -51,10 +53,13 @@ _VERBS = (
     "спросил|сказал|крикнул|прошептал|ответил|ρώτησε|είπε|φώναξε|سأل|قال|صاح|همس|पूछा|कहा|चिल्लाया|चिल्लाई|问道|说道|喊道|叫道|低声说"
 )
 
-_EVENT = re.compile("((?:\\.(?![0-9A-Za-z])|[!?…。！？｡．؟।॥;])(?:[.!?…。！？｡؟]|[\xa0\u202f ](?=[!?]))*)|([\"“”„«»「」『』])|(\x1d)")
+_EVENT = re.compile("((?:\\.(?!(?<=[0-9]\\.)[0-9])|[!?…。！？｡．؟।॥;])(?:[.!?…。！？｡؟]|[\xa0\u202f ](?=[!?]))*)|([\"“”„«»「」『』])|(\x1d)")
 _CLOSERS = {"“": "”\"", "„": "“”\"", "«": "»", "「": "」", "『": "』", '"': '"”'}
 _BLANKS = " \t\r\n\x1e\xa0  　"
 _DOTTED = regex.compile(r"\p{L}\.")
+#: What may stand before and behind a full stop without a blank.
+_BEFORE = regex.compile(r"(?:[\p{L}\p{M}\p{N}]{1,3}|[)\]”»\"'’%€°])$")
+_BEHIND = regex.compile(r"[“„«「『¿¡(]*(\p{L}[\p{L}\p{M}]*|\p{N}+)(\.?)")
 _NINES = str.maketrans("012345678", "999999999")
 _OPENING = regex.compile(r"([\"“”„«»「『¿¡(…'‘ ]*)([\p{L}\p{N}\p{M}_�]*(?:-\p{L}+)*)")
 _WORD = re.compile(r"[^\W_]")
@@ -109,6 +114,19 @@ def _shape(word: str) -> str:
     return "a" if c.islower() else "o"
 
 
+def _blank_lost(text: str, i: int, end: int) -> bool:
+    """Whether the full stop at i, with no blank behind it, may end a sentence: not in 3.5, p.m., n.º, Ph.D. or c.-à-d."""
+    before, behind = _BEFORE.search(text[max(0, i - 3) : i]), _BEHIND.match(text, end)
+    if not before or not behind:
+        return False
+    run, (word, dot) = before.group(), behind.groups()
+    if word[0].isnumeric():
+        return len(run) == 3 and not any(map(str.isnumeric, run))
+    if len(run) == 1 and run.isalpha():
+        return len(word) > 1 and not dot
+    return len(word) > 1 or not (run[-1].isnumeric() or (dot and len(run) < 3))
+
+
 def contexts(spoken: Spoken) -> tuple[list[tuple[int, tuple]], list[int]]:
     """The text's candidates, each with all that its class may depend on, and its stops."""
     text, mixed = spoken.text, spoken.case == "mixed"
@@ -149,6 +167,8 @@ def contexts(spoken: Spoken) -> tuple[list[tuple[int, tuple]], list[int]]:
                     quoted += "l"  # words lead into the quotation
         elif end < size and text[end] in "”»」』�\"" and not text[end + 1 : end + 2].isalnum():
             end += 1  # closes what was never opened
+        if mark == "." and not quoted and end < size and not text[end].isspace() and not _blank_lost(text, i, end):
+            continue
         left = text[i - 28 if i > 28 else 0 : i].split()
         right = text[end : end + 40]
         rest = right.lstrip()
@@ -182,9 +202,7 @@ def describe(context: tuple, family: str) -> tuple[list[str], int | None] | None
     ahead = follow[:1]
     if ahead and ahead in ",;:،、，—–" and not (wide and ahead == "—"):
         return None
-    if br == "0" and mark == "." and not quoted and ahead:
-        return None  # as in 3.5, c.-à-d. or an address
-    if br == "0" and not wide and not quoted and word[:1].isdigit():
+    if br == "0" and mark != "." and not wide and not quoted and word[:1].isdigit():
         return None
     if wide or (word and _UNCASED.match(word) and not word[0].isdigit() and len(word) > 4 and not word.isascii() and _CJK_WORD.match(word)):
         word = word[:3]

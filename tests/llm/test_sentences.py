@@ -50,6 +50,27 @@ def test_languages(splitter, cues, want):
     assert said(splitter, srt(*cues)) == want
 
 
+@pytest.mark.parametrize(
+    ("cue", "ends"),
+    [
+        ("Our neighbour left the hollow net.Lunfa counted the coats. Yes.", ["net.", "coats.", "Yes."]),
+        ("The ferryman waited by the pier.No! The old cook left.", ["pier.", "No!", "left."]),
+        ("Die Nachbarin sucht das Seil jede Nacht.Ja. Der Koch geht.", ["Nacht.", "Ja.", "geht."]),
+        ("Le passeur oublie la clé rouillée.Été comme hiver.", ["rouillée.", "hiver."]),
+        ("He took the painted compass.“Take it,” said Ann. Yes.", ["compass.", "Ann.", "Yes."]),
+        ("OUR NEIGHBOUR LEFT THE HOLLOW NET.LOOK AT THE COATS.", ["NET.", "COATS."]),
+        ("our neighbour left the hollow net.look at the coats.", ["net.", "coats."]),
+        ("Take the log, i.e. the map, at 6 p.m. from the U.S. crate.", ["crate."]),
+        ("La vecina del n.º 4 cuenta 21.663,05 euros.", ["euros."]),
+        ("Dr.Venn met J.R. Mossel and a Ph.D. student.", ["student."]),
+        ("Le mot de J.-R. Mossel, c.-à-d. la page.", ["page."]),
+    ],
+)
+def test_lost_blanks(splitter, cue, ends):
+    text = srt(cue)
+    assert all(text[:e].endswith(w) for e, w in zip(splitter.ends(text), ends, strict=True))
+
+
 def test_case_makes_no_difference(splitter):
     text = srt("The old cook left. Our neighbour never", "found the rope, keys, etc. Well... the", "girl from No. 4 left.", "Look at the blue kettle! It is 24.81.")
     assert splitter.ends(text.upper()) == splitter.ends(text) == splitter.ends(text.lower())
