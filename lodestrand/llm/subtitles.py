@@ -201,7 +201,7 @@ class Spoken:
         for a, b in self.adverts:
             speech.append(self.text[at_end:a])
             at_end = b
-        speech.append(self.text[at_end : at_end + 4000])
+        speech.append(self.text[at_end:])
         self.case = _case("".join(speech))
 
     @staticmethod
@@ -231,13 +231,13 @@ class Spoken:
 
 
 def _case(text: str) -> str:
-    body = text[:4000]
-    small, large = body.lower(), body.upper()
-    if len(small) == len(body) == len(large):
-        code, small_code, large_code = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4") for t in (body, small, large))
-        upper, lower = int((code != small_code).sum()), int((code != large_code).sum())
-    else:
-        upper, lower = sum(map(str.isupper, body)), sum(map(str.islower, body))
+    """"upper", "lower" or "mixed", by all letters of the text."""
+    counts = np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4"))
+    upper = lower = 0
+    for code in counts.nonzero()[0].tolist():
+        c = chr(code)
+        upper += int(counts[code]) if c != c.lower() else 0
+        lower += int(counts[code]) if c != c.upper() else 0
     if upper > 4 * lower:
         return "upper"
     return "lower" if upper * 100 < lower else "mixed"

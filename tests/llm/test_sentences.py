@@ -76,6 +76,12 @@ def test_case_makes_no_difference(splitter):
     assert splitter.ends(text.upper()) == splitter.ends(text) == splitter.ends(text.lower())
 
 
+@pytest.mark.parametrize(("head", "tail", "case"), [(str.upper, str, "mixed"), (str, str.upper, "upper"), (str.lower, str, "mixed"), (str.upper, str.upper, "upper"), (str.lower, str.lower, "lower")])
+def test_case_of_the_whole_text(head, tail, case):
+    line = "Die Straße ist nass. Our neighbour left the hollow net. Look at the coats. "
+    assert Spoken(srt(head(line * 60), *[tail(line * 60)] * 20)).case == case
+
+
 def test_line_ends_and_wrong_encodings(splitter):
     text = srt("Où est la clé ? Le passeur oublie la clé.", "Été. Là-bas, la clé.")
     crlf = text.replace("\n", "\r\n")
