@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.display import source_cost_ms
 from ..runtime import materialise
+from .ranking import number_rows
 
 
 def provider_counts(missing: DataFrame, availability: DataFrame) -> DataFrame:
@@ -19,6 +20,11 @@ def provider_counts(missing: DataFrame, availability: DataFrame) -> DataFrame:
     return missing.select("hash").distinct().join(held, "hash", "left").select("hash", F.coalesce("n", F.lit(0)).alias("providers"))
 
 
+def rarest_order(missing: DataFrame, availability: DataFrame) -> DataFrame:
+    """(hash, providers, rank): every missing hash with its place, rarest first, ties by hash."""
+    return number_rows(provider_counts(missing, availability), [], ["providers", "hash"], "rank")
+
+
 def cheapest_peer(missing: DataFrame, availability: DataFrame, peers: DataFrame) -> DataFrame:
     """The provider of least cost of each hash, ties by peer."""
     cost = source_cost_ms(F.col("rtt_ms"), F.col("queued_bytes"), F.col("goodput_bps"), F.col("failure_penalty"))

@@ -203,6 +203,12 @@ def rarest_first(spark, sf_dir):
     return swarm.provider_counts(_miss(spark, sf_dir), _avail(spark, sf_dir)).orderBy("providers", "hash").limit(100)
 
 
+@query(f"WITH {_PEERS}, c AS (SELECT miss.hash, count(peer) AS providers FROM miss LEFT JOIN avail ON avail.hash = miss.hash GROUP BY ALL) SELECT hash, providers, row_number() OVER (ORDER BY providers, hash) AS rank FROM c")
+def rarest_order(spark, sf_dir):
+    """The whole order, of which rarest_first shows the first 100."""
+    return swarm.rarest_order(_miss(spark, sf_dir), _avail(spark, sf_dir))
+
+
 @query(f"WITH {_PEERS}, c AS (SELECT miss.hash, peer, rtt_ms + queued_bytes * 1000 // greatest(goodput_bps, 1) + failure_penalty * 500 AS cost_ms FROM miss JOIN avail ON avail.hash = miss.hash JOIN peers USING (peer)) SELECT hash, peer, CAST(cost_ms AS BIGINT) AS cost_ms FROM c QUALIFY row_number() OVER (PARTITION BY hash ORDER BY cost_ms, peer) = 1")
 def min_cost_peer(spark, sf_dir):
     return swarm.cheapest_peer(_miss(spark, sf_dir), _avail(spark, sf_dir), _peers(spark, sf_dir))

@@ -157,6 +157,13 @@ def test_schedule_keeps_its_limits(spark):
     assert len(rows) == 18 and len(used) <= 4 and max(used.values()) <= 5 and 999 not in {r["hash"] for r in rows}
 
 
+def test_rarest_order_holds_every_hash(spark):
+    missing = spark.createDataFrame([(h,) for h in range(500)], "hash long")
+    avail = spark.createDataFrame([(p, h) for h in range(500) for p in range(h * 7 % 5)], "peer long, hash long")
+    got = [(r["hash"], r["providers"], r["rank"]) for r in swarm.rarest_order(missing, avail).orderBy("rank").collect()]
+    assert got == [(h, h * 7 % 5, i) for i, h in enumerate(sorted(range(500), key=lambda h: (h * 7 % 5, h)), 1)]
+
+
 def _plain_schedule(missing, avail, peers, limits):
     """The rule as one loop over all hashes of one job."""
     holders = {}
