@@ -56,11 +56,11 @@ def resolved(out: DataFrame) -> DataFrame:
 
 #: How much of the loser's hash a copy's name takes, shortest first that is free.
 TOKEN_LENGTHS = (12, 16, 24, 32, 48, 64)
-SERIALS = 64
+SERIALS = 10_000
 
 
 def name_copies(conflicts: DataFrame, occupied: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """conflict_path of every kept loser: the first free of the token lengths, then of serial numbers behind the full token."""
+    """conflict_path of every kept loser: the first free of the token lengths, then of serial numbers behind the full token; an error if none is free."""
     group = [k for k in keys if k != "path"]
     kept = conflicts.where("kept").select(*keys, "loser_hash")
     tokens = F.array(*(F.struct(F.lit(i).alias("rank"), F.left("loser_hash", F.lit(n)).alias("token")) for i, n in enumerate(TOKEN_LENGTHS)))
@@ -73,7 +73,11 @@ def name_copies(conflicts: DataFrame, occupied: DataFrame, keys: Sequence[str])
 
     first = cut(free(kept, tokens))
     rest = kept.join(first, list(keys), "left_anti")
-    return first if rest.isEmpty() else first.unionByName(free(rest, serials))
+    if rest.isEmpty():
+        return first
+    numbered = rest.select(*keys).join(free(rest, serials), list(keys), "left")
+    none_left = F.raise_error(F.lit("no name is free for a conflict copy"))
+    return first.unionByName(cut(numbered.withColumn("conflict_path", F.coalesce("conflict_path", none_left))))
 
 
 def merge(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:

@@ -157,6 +157,21 @@ def test_schedule_keeps_its_limits(spark):
     assert len(rows) == 18 and len(used) <= 4 and max(used.values()) <= 5 and 999 not in {r["hash"] for r in rows}
 
 
+def test_copy_names_beyond_64_serials(spark):
+    loser = "ab" * 32
+    conflicts = spark.createDataFrame([("p", "dir/a.txt", loser, True), ("p", "b.txt", loser, True)], "pass_id string, path string, loser_hash string, kept boolean")
+
+    def occupied(serials):
+        tokens = [loser[:n] for n in merge.TOKEN_LENGTHS] + [f"{loser}-{i}" for i in range(1, serials + 1)]
+        rows = spark.createDataFrame([("p", "dir/a.txt", t) for t in tokens], "pass_id string, path string, t string")
+        return rows.select("pass_id", P.conflict_path(F.col("path"), F.col("t")).alias("path"))
+
+    got = {r["path"]: r["conflict_path"] for r in merge.name_copies(conflicts, occupied(70), KEYS).collect()}
+    assert got == {"dir/a.txt": f"dir/a.conflict-{loser}-71.txt", "b.txt": f"b.conflict-{loser[:12]}.txt"}
+    with pytest.raises(Exception, match="no name is free"):
+        merge.name_copies(conflicts, occupied(10_000), KEYS).collect()
+
+
 def test_rarest_order_holds_every_hash(spark):
     missing = spark.createDataFrame([(h,) for h in range(500)], "hash long")
     avail = spark.createDataFrame([(p, h) for h in range(500) for p in range(h * 7 % 5)], "peer long, hash long")
