@@ -1,6 +1,6 @@
 """Filling fixed-capacity containers with items: bulk-synchronous best fit.
 
-Documents are range-sorted by size, largest first, and so are the gaps of the open containers. In every
+Documents are range-sorted by size, largest first; the gaps of the open containers are kept in order on the driver. In every
 round the largest documents still waiting look up their successor, the smallest gap that holds them;
 where more documents than containers of one gap meet, rank decides: the first ones go in, the others go
 on to the next greater gap, and what no gap holds opens containers. Then the gaps are updated, and the
@@ -8,7 +8,9 @@ next round begins.
 
 Documents of one size are alike, and so are containers of one gap, so a round moves runs: (size, ranks i
 to j) into (gap, containers k to l). What a round needs of the corpus are the counts of each size, at
-most capacity + 1 numbers gathered over all partitions; the number of runs depends on the capacity, not on
+most capacity + 1 numbers gathered over all partitions to the driver, where sweeps and conflicts are
+worked out one after the other (``best_fit``). That gives the packing of the rounds over rows, since rows
+of one size and containers of one gap can change places; the number of runs depends on the capacity, not on
 the corpus. Rows are touched twice: when they are sized and sorted into the shared folder, and when each
 looks up its container by its rank in that order; nothing is shuffled between rounds, and no size is hot,
 since the sort splits rows of one size by their key.
