@@ -1,10 +1,11 @@
 """Visually identical text with different characters, brought to one form.
 
 A longest-match transducer. Its input symbols are grapheme clusters, each with the invisible characters
-and stray marks that follow it; its mapping is compiled from rules over the whole of Unicode (width and
-compatibility forms, composition, invisible characters, kinds of blank) and from one table of look-alike
-letters, and is checked for conflicts when compiled: every target is a fixed point, no source has two
-targets, and no printable ASCII character is changed. Clusters are mapped once and remembered, so a text
+and stray marks that follow it; its mapping follows rules over the whole of Unicode (width and
+compatibility forms, composition, invisible characters, kinds of blank) and one table of look-alike
+letters. Only that table is compiled beforehand and checked for conflicts: every target is a fixed point, no
+source has two targets, and no printable ASCII character is changed. The rules are applied to a cluster when it
+is first met, and aren't checked. Clusters are mapped once and remembered, so a text
 costs one pass over its clusters; an ASCII text is its own form and is not passed at all.
 
 Letter case, accents, blanks as such and digits that resemble letters are kept apart.
