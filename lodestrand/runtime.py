@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it in ``spark.checkpoint.dir``.
@@ -31,7 +35,57 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new folder's name in the shared folder; ``scratch`` removes what was made within it."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes on leaving the stages that were stored within. Results are lazy: consume them before."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[before:]:
+            Folder(spark, path).remove()
+        del _made[before:]
+
+
+class Folder:
+    """A folder on whichever file system its path names."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._jvm = spark._jvm
+        self.path = path.rstrip("/")
+        self._fs = self._at().getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str = ""):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def names(self) -> list[str]:
+        """Sorted; empty if there is no such folder."""
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._at())) if self._fs.exists(self._at()) else []
+
+    def write(self, name: str, text: str) -> None:
+        """A small file that appears whole or not at all."""
+        part = self._at(f".{name}.{uuid.uuid4().hex}")
+        out = self._fs.create(part, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if not self._fs.rename(part, self._at(name)):
+            raise OSError(f"{self.path}/{name} is there already")
+
+    def read(self, name: str) -> str:
+        stream = self._fs.open(self._at(name))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def remove(self, name: str = "") -> None:
+        self._fs.delete(self._at(name), True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
