@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from lodestrand.llm.keyledger import KeyLedger, digest_key
 from pyspark.sql import functions as F
 
@@ -51,3 +52,65 @@ def test_a_hot_key_among_many(spark):
         seen.add(h)
     rng.shuffle(rows)
     assert orders(KeyLedger(spark, buckets=4).seen(batch(spark, rows))) == want
+
+
+def _rows(keys, start):
+    return [(hexes(k), start + i, "a") for i, k in enumerate(keys)]
+
+
+def test_opened_again(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    first = batch(spark, _rows(range(500), 0))
+    KeyLedger(spark, path, buckets=8).seen(first).count()
+    again = KeyLedger(spark, path)
+    assert (again.buckets, again.batches) == (8, 1)
+    assert orders(again.holds(first)) == list(range(500))
+    assert orders(again.seen(first)) == list(range(500))
+    third = KeyLedger(spark, path)
+    assert orders(third.seen(batch(spark, _rows(range(400, 600), 1000)))) == list(range(1000, 1100))
+    with pytest.raises(ValueError, match="8 buckets"):
+        KeyLedger(spark, path, buckets=4)
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        assert orders(KeyLedger(spark, path).holds(first)) == list(range(500))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_a_numbered_batch_given_again_gets_the_same_answers(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    ledger = KeyLedger(spark, path, buckets=2)
+    ledger.load(batch(spark, _rows([1], 0)))
+    rows = batch(spark, _rows([1, 2, 2, 3], 10))
+    assert orders(ledger.seen(rows, number=1)) == [10, 12]
+    assert orders(KeyLedger(spark, path).seen(rows, number=1)) == [10, 12]
+    assert orders(KeyLedger(spark, path).seen(rows, number=2)) == [10, 11, 12, 13]
+
+
+def test_merging_keeps_every_key(spark, tmp_path, monkeypatch):
+    from lodestrand.llm import keyledger
+
+    monkeypatch.setattr(keyledger, "MERGE_EVERY", 2)
+    monkeypatch.setattr(keyledger, "ROWS_PER_BUCKET", 10)
+    path = f"file://{tmp_path}/ledger"
+    ledger = KeyLedger(spark, path, buckets=2)
+    ledger.load(batch(spark, _rows(range(10), 0)))
+    lazy = ledger.seen(batch(spark, _rows(range(5, 20), 100)))
+    for i in range(1, 5):
+        assert orders(ledger.seen(batch(spark, _rows(range(i * 10, i * 10 + 20), i * 1000)))) == list(range(i * 1000, i * 1000 + 10))
+    assert ledger.generation > 0 and ledger.buckets > 2
+    assert orders(lazy) == list(range(100, 105))
+    ledger.vacuum()
+    reopened = KeyLedger(spark, path)
+    assert (reopened.buckets, reopened.batches) == (ledger.buckets, 5)
+    assert orders(reopened.holds(batch(spark, _rows(range(60), 0)))) == list(range(60))
+    assert orders(reopened.holds(batch(spark, _rows(range(60), 0)), before=0)) == list(range(10))
+
+
+def test_a_base_is_read_without_shuffle_or_sort(spark, tmp_path):
+    ledger = KeyLedger(spark, f"file://{tmp_path}/ledger", buckets=4)
+    ledger.load(batch(spark, _rows(range(100), 0)))
+    firsts = batch(spark, _rows(range(100), 0)).groupBy("key").agg(F.min("order").alias("first_order"))
+    plan = ledger._new(firsts)._jdf.queryExecution().executedPlan().toString()
+    right = plan[plan.index("Scan parquet") - 400 :]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Sort [" not in right.split("ColumnarToRow")[0]
