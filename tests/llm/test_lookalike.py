@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from lodestrand.llm import lookalike as L
 
-form = L.transducer()
+form = L.Transducer(L.compiled())
 
 
 @pytest.mark.parametrize(
@@ -44,6 +44,33 @@ def test_conflicts_are_refused(monkeypatch):
     L.letters.cache_clear()
 
 
+def test_the_published_list(spark):
+    """Letters of further scripts, as far as case, accents, digits and letters of one script stay apart."""
+    more = L.published(spark)
+    wide = L.Transducer(L.compiled(more))
+    assert len(more) > 150
+    for other, latin in zip("ᎪᎢꓮⲟⲣⵔꓐꓑⲤ", "ATAopOBPC", strict=True):
+        assert wide(other) == latin, other
+    for a, b in (("ɑ", "a"), ("ɡ", "g"), ("ı", "i"), ("ا", "l"), ("σ", "o"), ("Ь", "b"), ("٥", "o"), ("ه", "ہ"), ("১", "9")):
+        assert wide(a) != wide(b), (a, b)
+    for text in ("ⲟ́", "Ꭺ​́"):
+        assert wide(text) == wide(wide(text))
+
+
+def test_a_wrong_list_is_refused():
+    for more in ({"Ꭺ": "a"}, {"Ꭺ": "4"}, {"é": "e", "e": "é"}):
+        with pytest.raises(L.Conflict):
+            L.compiled(more)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("eaｅＡе\u0301\u0323\u0327\u200b\u00ad\ufeffｶﾞ가각ﾡￂㄱㅏ\u3099ﬁ \u00a0Åक़\u093c\u0dd9\u0dcf\u1161"), max_size=12))
+def test_one_pass_gives_composed_text(text):
+    whole = "".join(L._target(c, L.letters()) for c in text)
+    assert form(text) == unicodedata.normalize("NFC", whole)
+    assert form(form(text)) == form(text)
+
+
 def test_pairs_and_classes(spark):
     rows = [("f", "copy"), ("f", "сору"), ("f", "ｃopy"), ("f", "Copy"), ("f", "copy"), ("g", "copy"), (None, "copy"), ("f", None), ("f", "x y"), ("f", "x y"), ("f", "")]
     df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "folder string, path string, form int")
