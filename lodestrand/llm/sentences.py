@@ -16,7 +16,7 @@ the text itself stops a sentence; there the model isn't asked.
 
 Defined results: null, empty and blank texts, and texts without spoken words, give no row. A last sentence
 without an end mark ends with its last character. Repeated rows give repeated rows. Very long texts are
-read once. If no row is reliable (tiny tables), the built-in prior decides: a mark ends a sentence.
+read once, quotations of any length, gaps of any width and single misread places among them. If no row is reliable (tiny tables), the built-in prior decides: a mark ends a sentence.
 """
 
 from __future__ import annotations
@@ -37,9 +37,6 @@ from .subtitles import CUE, LINE, STOP, Spoken, addresses
 #: Texts that give training rows, and how long they may be.
 SAMPLE, SAMPLE_CHARS = 1500, 30_000
 
-#: A quotation longer than this, in characters, was opened by mistake.
-_LONGEST_QUOTE = 400
-
 # Abbreviations before a name, and before a number or name part; verbs that lead out of a quotation.
 _TITLES = set(
     "mr mrs ms dr prof st sgt capt lt hr fr sr sra srta dra dña dn mm mme mlle mgr rev hon gen col maj sen gov frl им ул проф тов κ κα κος δρ καθ د م أ डॉ श्री रु ดร".split()
@@ -56,6 +53,7 @@ _VERBS = (
 _EVENT = re.compile("((?:\\.(?!(?<=[0-9]\\.)[0-9])|[!?…。！？｡．؟।॥;])(?:[.!?…。！？｡؟]|[\xa0\u202f ](?=[!?]))*)|([\"“”„«»「」『』])|(\x1d)")
 _CLOSERS = {"“": "”\"", "„": "“”\"", "«": "»", "「": "」", "『": "』", '"': '"”'}
 _BLANKS = " \t\r\n\x1e\xa0  　"
+_GAP = re.compile(r"\s*")
 _DOTTED = regex.compile(r"\p{L}\.")
 #: What may stand before and behind a full stop without a blank.
 _BEFORE = regex.compile(r"(?:[\p{L}\p{M}\p{N}]{1,3}|[)\]”»\"'’%€°])$")
@@ -67,8 +65,8 @@ _CJK_WORD = re.compile("[\u0e01-\u0e5b\u3041-\u30ff\u3400-\u9fff]")
 _GREEK = regex.compile(r"\p{Greek}")
 _SPEECH = regex.compile(rf"[\s\x1e]*(?:[^.!?。！？।؟;\"“«「\x1d]{{0,60}}?(?<!\p{{L}}))?(?:{_VERBS})", regex.I)
 _SAYS = regex.compile(rf"[\s\x1e]*(?:{_VERBS})(?!\p{{L}})", regex.I)
-_SPEECH_CJK = regex.compile(r"[\s\x1e]*(?:と|[^.!?。！？।؟;\"“«「\x1d]{0,24}?(?:问道|说道|喊道|叫道|问|说|喊)[\s\x1e]*[。！？｡])")
-_SPEECH_HINDI = regex.compile(r"[^.!?।\"“\x1d]{0,20}(?:\.[^.!?।\"“\x1d]{0,24})?ने[\s\x1e]+(?:पूछा|कहा)")
+_SPEECH_CJK = regex.compile(r"[\s\x1e]*(?:と|[^.!?。！？।؟;\"“«「\x1d]*?(?:问道|说道|喊道|叫道|问|说|喊)[\s\x1e]*[。！？｡])")
+_SPEECH_HINDI = regex.compile(r"[^.!?।\"“\x1d]*(?:\.[^.!?।\"“\x1d]*)?ने[\s\x1e]+(?:पूछा|कहा)")
 _WIDE = set("。！？｡．")
 _UNCASED = regex.compile(r"[\p{Lo}]")
 
@@ -84,8 +82,6 @@ def _quotes(text: str) -> tuple[list, list[tuple[int, int]]]:
             opened = -1
         elif kind == 2:
             q, i = m.group(), m.start()
-            if opened >= 0 and i - opened > _LONGEST_QUOTE:
-                opened = -1
             if opened >= 0 and q in closers:
                 if q == '"' and i + 1 < len(text) and text[i + 1].isalnum() and text[i - 1] in _BLANKS:
                     opened = i  # opens again: the earlier one was a stray
@@ -170,9 +166,8 @@ def contexts(spoken: Spoken) -> tuple[list[tuple[int, tuple]], list[int]]:
         if mark == "." and not quoted and end < size and not text[end].isspace() and not _blank_lost(text, i, end):
             continue
         left = text[i - 28 if i > 28 else 0 : i].split()
-        right = text[end : end + 40]
-        rest = right.lstrip()
-        gap = right[: len(right) - len(rest)]
+        next_word = _GAP.match(text, end).end()
+        gap, rest = text[end:next_word], text[next_word : next_word + 40]
         if STOP in gap:
             continue  # the stop ends it
         ahead = rest.split(None, 2)

@@ -32,11 +32,15 @@ _LABEL = regex.compile(r"\s*(?:\p{Lu}[\p{L}'’]*\.?|\p{Lu}\.)(?: (?:\p{Lu}[\p{L
 # Reserved and common endings of host names, and how credits begin.
 _HOSTS = "invalid|test|example|localhost|com|net|org|info|tv"
 _CREDITS = "subt|sous-titr|untertitel|субтитр|υπότιτλ|υποτιτλ|字幕|ترجمة|उपशीर्षक|คำบรรยาย|sync and |synced by|encoded by|ripped by|translated by|-= ?\\S"
-_ADVERT = regex.compile(rf"[\p{{L}}\p{{N}}_-](?: ?\. ?|\s?{_ADDRESS_DOT}\s?)(?:{_HOSTS})\b|\bw ?w ?w ?\.|https?:|@[\w-]+\.|^[\s﻿-]*(?:{_CREDITS})", regex.I)
+#: An address by its form: behind a protocol, www or an at sign, with its dots spelled out, or with blanks around several dots.
+_LABELS = r"[\p{L}\p{N}_-]+"
+_SPELLED, _SPACED = rf"(?:\s?{_ADDRESS_DOT}\s?)", r"(?-i:(?<![\p{L}\p{N}_-])[a-z0-9_-]+(?: \. [a-z0-9_-]+){2,}(?![\p{L}\p{N}_-]))"
+_BY_FORM = rf"(?:https?://|\bw ?w ?w ?\. ?|@){_LABELS}(?:(?:\.| \. |{_SPELLED}){_LABELS})*|{_LABELS}(?:{_SPELLED}{_LABELS})+|{_SPACED}"
+_ADVERT = regex.compile(rf"[\p{{L}}\p{{N}}_-](?: ?\. ?|{_SPELLED})(?:{_HOSTS})\b|\bw ?w ?w ?\.|https?:|@{_LABELS}\.|{_LABELS}{_SPELLED}{_LABELS}|{_SPACED}|^[\s﻿-]*(?:{_CREDITS})", regex.I)
 #: One of these is in every advert, in small letters.
 _HOST_HINT = re.compile(rf"\. ?(?:{_HOSTS})")
-_HINTS = ["dot]", "dot)", "www", "w w w", "http", "@", *(c.replace("\\S", "").rstrip("? ") for c in _CREDITS.split("|"))]
-_ADDRESS = regex.compile(rf"(?:\bw ?w ?w ?\. ?)?[\p{{L}}\p{{N}}_@-]+(?:(?: ?\. ?|\s?{_ADDRESS_DOT}\s?)[\p{{L}}\p{{N}}_-]+)*(?: ?\. ?|\s?{_ADDRESS_DOT}\s?)(?:{_HOSTS})\b|\bw ?w ?w ?\. ?[\p{{L}}\p{{N}}_-]+", regex.I)
+_HINTS = ["dot]", "dot)", " . ", "www", "w w w", "http", "@", *(c.replace("\\S", "").rstrip("? ") for c in _CREDITS.split("|"))]
+_ADDRESS = regex.compile(rf"(?:\bw ?w ?w ?\. ?)?[\p{{L}}\p{{N}}_@-]+(?:(?: ?\. ?|{_SPELLED}){_LABELS})*(?: ?\. ?|{_SPELLED})(?:{_HOSTS})\b|{_BY_FORM}", regex.I)
 
 _THAI = re.compile("[\u0e01-\u0e5b]")
 _CJK = re.compile("[\u3041-\u30ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003ffff]")
@@ -65,6 +69,13 @@ _MAYBE_MISREAD = re.compile(f"[\u00c2-\u00f4][{_TAIL}]")
 _HIGH = re.compile("[À-ÿ]{4,}")  # no language writes so many of these letters together
 _HIGH_LETTER = re.compile("[À-ÿ¨¸]")
 _KOI = re.compile(r"[а-яё][А-ЯЁ]{2,}")
+_CYRILLIC = re.compile("[А-яЁё]")
+
+
+def _misread_by(runs: re.Pattern, letters: re.Pattern, text: str) -> bool:
+    """Whether the telling runs hold at least a twentieth of these letters; a right text has next to none."""
+    told = sum(len(r) for r in runs.findall(text))
+    return told > 0 and told * 20 >= len(letters.findall(text))
 
 
 def repair(text: str) -> tuple[str, list[int] | None]:
@@ -74,7 +85,7 @@ def repair(text: str) -> tuple[str, list[int] | None]:
         if not _MAYBE_MISREAD.search(text):
             break
         found = _MISREAD.findall(text)
-        if len(found) < 3 or len(found) * 4 < sum(text.count(c) for c in _UTF8_LEAD):
+        if not found or len(found) * 4 < sum(text.count(c) for c in _UTF8_LEAD):
             break
         out, back, at = [], [], 0
         for m in _MISREAD.finditer(text):
@@ -92,9 +103,9 @@ def repair(text: str) -> tuple[str, list[int] | None]:
         back.extend(range(at + 1, len(text) + 1))
         text = "".join(out)
         ends = back if ends is None else [ends[b - 1] for b in back]
-    if len(_HIGH.findall(text)) >= 3:  # Windows-1251 read as Windows-1252
+    if _misread_by(_HIGH, _HIGH_LETTER, text):  # Windows-1251 read as Windows-1252
         text = _HIGH_LETTER.sub(lambda m: m.group().encode("cp1252").decode("cp1251"), text)
-    if len(_KOI.findall(text)) >= 3:  # KOI8-R read as Windows-1251 turns the case around
+    if _misread_by(_KOI, _CYRILLIC, text):  # KOI8-R read as Windows-1251 turns the case around
         turned = []
         for c in text:
             try:
@@ -247,7 +258,7 @@ def _hinted(text: str) -> list[int]:
     """Where an advert may be."""
     small = text.lower()
     if len(small) != len(text):
-        return list(range(0, len(text), 8))
+        small = "".join(low if len(low := c.lower()) == 1 else c for c in text)  # place for place
     out = [m.start() for m in _HOST_HINT.finditer(small)]
     for hint in _HINTS:
         p = small.find(hint)

@@ -123,3 +123,33 @@ def test_held_out_agreement(splitter):
             same += len(a & b)
             total += len(a | b)
     assert same / total > 0.97
+
+
+@pytest.mark.parametrize("words", [40, 90, 400])
+def test_a_quotation_of_any_length_is_one_sentence(splitter, words):
+    inside = " ".join(["The cook left the old lantern."] * (words // 6))
+    assert said(splitter, srt(f"“{inside}” said Ann. Yes.")) == [f"“{inside}” said Ann.", f"“{inside}” said Ann. Yes."]
+
+
+def test_one_misread_place_is_put_right():
+    good = "Le passeur oublie la clé. Oui…"
+    bad = good.encode().decode("cp1252")
+    assert repair(bad)[0] == good
+    only = "The old cook left… Yes. The ferryman counted the coats."
+    assert repair(only.encode().decode("cp1252"))[0] == only
+
+
+def test_adverts_below_a_letter_that_grows_in_small_print(splitter):
+    """A capital dotted I has two characters in small letters; adverts are found all the same."""
+    got = said(splitter, srt("İstanbul is far. Yes.", "see www.low-harbour.example for more", "He left."))
+    assert got[-2:] == ["see www.low-harbour.example for more", "He left."]
+
+
+@pytest.mark.parametrize("address", ["low . harbour . de", "low[dot]harbour[dot]de", "https://low.harbour.io", "www.low.harbour.ru", "ann@harbour.se"])
+def test_addresses_by_their_form(splitter, address):
+    assert said(splitter, srt("He left.", f"More films at {address}", "The cook left.")) == ["He left.", f"More films at {address}", "The cook left."]
+
+
+def test_a_wide_gap_hides_no_word(splitter):
+    gap = " " * 80
+    assert said(splitter, f"1\n00:00:01,000 --> 00:00:02,000\nMr.{gap}Tallow left. Yes.\n")[0] == f"Mr.{gap}Tallow left."
