@@ -80,12 +80,10 @@ def truncate_utf8(text: Column, budget: Column) -> Column:
     """The longest prefix of at most so many bytes that cuts no character."""
     raw = F.encode(text, "UTF-8")
     # a character's later bytes are 80-BF: step back from one, at most three times
-    inside = lambda n: F.hex(F.substring(raw, n + 1, 1)).between("80", "BF")
-    n0 = budget
-    n1 = F.when(inside(n0), n0 - 1).otherwise(n0)
-    n2 = F.when(inside(n1), n1 - 1).otherwise(n1)
-    n3 = F.when(inside(n2), n2 - 1).otherwise(n2)
-    return F.when(F.octet_length(text) <= budget, text).otherwise(F.decode(F.substring(raw, F.lit(1), F.greatest(n3, F.lit(0))), "UTF-8"))
+    border = lambda n: ~F.hex(F.substring(raw, n + 1, 1)).between("80", "BF")
+    steps = F.transform(F.array(F.lit(0), F.lit(1), F.lit(2), F.lit(3)), lambda k: F.greatest(budget - k, F.lit(0)))
+    kept = F.element_at(F.filter(steps, border), 1)
+    return F.when(F.octet_length(text) <= budget, text).otherwise(F.decode(F.substring(raw, F.lit(1), kept), "UTF-8"))
 
 
 def conflict_path(path: Column, token: Column) -> Column:

@@ -56,6 +56,12 @@ def vector_text(v: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.map_entries(v)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
 
 
+def vector_of(text: Column) -> Column:
+    """The vector of such a string."""
+    entries = F.filter(F.split(text, ","), lambda e: e != "")
+    return F.map_from_entries(F.transform(entries, lambda e: F.struct(F.split_part(e, F.lit("="), F.lit(1)).alias("key"), F.split_part(e, F.lit("="), F.lit(2)).cast("bigint").alias("value"))))
+
+
 def same(a: str, b: str, fields=STATE) -> Column:
     """Null-safe equality of fields of two structs or aliases."""
     out = F.lit(True)

@@ -28,9 +28,25 @@ def _live_directory(r: str) -> Column:
     return ~F.col(f"{r}.tombstone") & (F.col(f"{r}.kind") == "directory")
 
 
+def paired_sides(rows: DataFrame, keys: Sequence[str], left: Column) -> DataFrame:
+    """The same pairs out of one relation with both sides' rows, told apart by ``left``: one aggregation in place of a join of two.
+
+    Two rows of one side and key are an error of the caller; the greatest counts.
+    """
+    row = F.struct(F.lit(True).alias("here"), "path", *(c for c in ROW if c != "vv"))
+    pair = rows.groupBy(*keys).agg(F.max(F.when(left, row)).alias("l"), F.max(F.when(~left, row)).alias("r"))
+    full = lambda n: F.when(F.col(f"{n}.here"), F.struct(F.lit(True).alias("here"), F.col(f"{n}.path").alias("path"), *(R.vector_of(F.col(f"{n}.vtext")).alias("vv") if c == "vv" else F.col(f"{n}.{c}").alias(c) for c in ROW)))
+    return pair.withColumn("l", full("l")).withColumn("r", full("r"))
+
+
 def outcomes(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every key of two snapshots with its outcome, see ``pair_outcomes``."""
+    return pair_outcomes(paired(left, right, keys))
+
+
+def pair_outcomes(pairs: DataFrame) -> DataFrame:
     """Every key with relation and outcome: left_only, right_only, before, after, equal, concurrent_same, equal_clock_divergence, concurrent_edit."""
-    pair = paired(left, right, keys).withColumn("relation", F.when(F.col("l.here") & F.col("r.here"), R.relation(F.col("l.vv"), F.col("r.vv"))))
+    pair = pairs.withColumn("relation", F.when(F.col("l.here") & F.col("r.here"), R.relation(F.col("l.vv"), F.col("r.vv"))))
     same = R.same("l", "r")
     outcome = (
         F.when(F.col("r.here").isNull(), "left_only").when(F.col("l.here").isNull(), "right_only")
@@ -64,7 +80,8 @@ def name_copies(conflicts: DataFrame, occupied: DataFrame, keys: Sequence[str])
     group = [k for k in keys if k != "path"]
     kept = conflicts.where("kept").select(*keys, "loser_hash")
     tokens = F.array(*(F.struct(F.lit(i).alias("rank"), F.left("loser_hash", F.lit(n)).alias("token")) for i, n in enumerate(TOKEN_LENGTHS)))
-    serials = F.transform(F.sequence(F.lit(1), F.lit(SERIALS)), lambda i: F.struct((i + len(TOKEN_LENGTHS)).alias("rank"), F.concat(F.col("loser_hash"), F.lit("-"), i.cast("string")).alias("token")))
+    last = F.when(F.col("loser_hash").isNotNull(), F.lit(SERIALS))  # by row: as a constant the planner would carry all of them around
+    serials = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct((i + len(TOKEN_LENGTHS)).alias("rank"), F.concat(F.col("loser_hash"), F.lit("-"), i.cast("string")).alias("token")))
 
     def free(rows: DataFrame, options: Column) -> DataFrame:
         named = rows.select(*keys, F.explode(options).alias("o")).select(*keys, "o.rank", P.conflict_path(F.col("path"), F.col("o.token")).alias("conflict_path"))
@@ -73,19 +90,22 @@ def name_copies(conflicts: DataFrame, occupied: DataFrame, keys: Sequence[str])
 
     first = cut(free(kept, tokens))
     rest = kept.join(first, list(keys), "left_anti")
-    if rest.isEmpty():
-        return first
     numbered = rest.select(*keys).join(free(rest, serials), list(keys), "left")
     none_left = F.raise_error(F.lit("no name is free for a conflict copy"))
-    return first.unionByName(cut(numbered.withColumn("conflict_path", F.coalesce("conflict_path", none_left))))
+    return first.unionByName(numbered.withColumn("conflict_path", F.coalesce("conflict_path", none_left)))
 
 
 def merge(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(records, conflicts) of two snapshots, see ``merge_pairs``."""
+    return merge_pairs(paired(left, right, keys), keys)
+
+
+def merge_pairs(pairs: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(records, conflicts). records: the merged snapshot incl. copies; conflicts: path, copy, hashes and reason."""
-    out = outcomes(left, right, keys)
+    out = cut(pair_outcomes(pairs))  # read by every branch
     group = [k for k in keys if k != "path"]
     conflict = cut(resolved(out))  # the few rows that five branches read
-    occupied = left.select(*keys).unionByName(right.select(*keys)).distinct()
+    occupied = out.select(*keys)
     copies = name_copies(conflict, occupied, keys)
     settled = out.where(~F.col("outcome").isin("equal_clock_divergence", "concurrent_edit"))
     pick = F.when(F.col("outcome").isin("left_only", "after", "equal", "concurrent_same"), F.col("l")).otherwise(F.col("r"))
@@ -111,7 +131,12 @@ def merge_stats(out: DataFrame, group: Sequence[str] = ()) -> DataFrame:
 
 def actions_to_reach(current: DataFrame, desired: DataFrame, keys: Sequence[str]) -> DataFrame:
     """delete or materialize for every desired row the current snapshot doesn't hold as it is; other paths are left alone."""
-    pair = paired(current, desired, keys).where(F.col("r.here"))
+    return pair_actions(paired(current, desired, keys), keys)
+
+
+def pair_actions(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same for pairs of a current (l) and a desired row (r)."""
+    pair = pairs.where(F.col("r.here"))
     differs = F.col("l.here").isNull() | ~R.same("l", "r") | (F.col("l.vtext") != F.col("r.vtext"))
     act = F.when(F.col("r.tombstone"), "delete").otherwise("materialize")
     return pair.where(differs).select(*keys, act.alias("action"), *(F.col(f"r.{f}").alias(f) for f in ROW[:5]))
@@ -142,12 +167,18 @@ def read_only_changes(local: DataFrame, remote: DataFrame, keys: Sequence[str])
 
     A directory that is there is left as it is. A change below a path that is itself removed or installed as something else than a directory is dropped.
     """
+    return pair_read_only_changes(paired(local, remote, keys), keys)
+
+
+def pair_read_only_changes(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same for pairs of a local (l) and a remote row (r)."""
     group = [k for k in keys if k != "path"]
-    pair = paired(local.where(~F.col("tombstone")), remote.where(~F.col("tombstone")), keys)
+    live = lambda n: F.when(~F.col(f"{n}.tombstone"), F.col(n))
+    pair = pairs.withColumn("l", live("l")).withColumn("r", live("r")).where(F.col("l.here") | F.col("r.here"))
     physical = R.same("l", "r", ("kind", "size", "content_hash", "readonly"))
     both_dirs = (F.col("l.kind") == "directory") & (F.col("r.kind") == "directory")
     act = F.when(F.col("r.here").isNull(), "remove").when(F.col("l.here").isNull(), "install").when(both_dirs | physical, None).otherwise("install")
-    changes = pair.withColumn("action", act).where(F.col("action").isNotNull()).select(*keys, "action", F.coalesce("r.kind", "l.kind").alias("kind"))
+    changes = cut(pair.withColumn("action", act).where(F.col("action").isNotNull()).select(*keys, "action", F.coalesce("r.kind", "l.kind").alias("kind")))
     blockers = changes.where((F.col("action") == "remove") | (F.col("kind") != "directory")).select(*group, F.col("path").alias("above"))
     below = changes.select(*keys, F.explode(P.ancestors(F.col("path"), proper=True)).alias("above")).join(blockers, [*group, "above"], "left_semi").select(*keys).distinct()
     return changes.join(below, list(keys), "left_anti")
@@ -155,7 +186,12 @@ def read_only_changes(local: DataFrame, remote: DataFrame, keys: Sequence[str])
 
 def causal_gate(current: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
     """accept, or why an incoming row is refused: stale, concurrent, divergent."""
-    pair = paired(current, incoming, keys).where(F.col("r.here"))
+    return pair_gate(paired(current, incoming, keys), keys)
+
+
+def pair_gate(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same for pairs of a current (l) and an incoming row (r)."""
+    pair = pairs.where(F.col("r.here"))
     rel = R.relation(F.col("l.vv"), F.col("r.vv"))
     verdict = (
         F.when(F.col("l.here").isNull() | (rel == "before"), "accept").when(rel == "after", "stale").when(rel == "concurrent", "concurrent")
@@ -166,7 +202,12 @@ def causal_gate(current: DataFrame, incoming: DataFrame, keys: Sequence[str]) ->
 
 def checkpoint_violations(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of an earlier checkpoint that the later one lost, sets back, contradicts, or changes without a new version."""
-    pair = paired(before, after, keys).where(F.col("l.here"))
+    return pair_checkpoint_violations(paired(before, after, keys), keys)
+
+
+def pair_checkpoint_violations(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same for pairs of an earlier (l) and a later row (r)."""
+    pair = pairs.where(F.col("l.here"))
     rel = R.relation(F.col("l.vv"), F.col("r.vv"))
     why = (
         F.when(F.col("r.here").isNull(), "missing").when(rel == "after", "went_back").when(rel == "concurrent", "concurrent")
@@ -182,12 +223,12 @@ def poisoned(incoming: DataFrame, keys: Sequence[str], replica: Column, ceiling:
 
 
 def namespace_issues(rows: DataFrame, keys: Sequence[str], collision_key: Column) -> DataFrame:
-    """Live rows that can't be laid out together: kind, ancestor (no live directory above), collision (two names of one folded form on any level)."""
+    """Live rows that can't be laid out together: kind, ancestor (a row above that is dead or no directory), collision (two names of one folded form on any level)."""
     group = [k for k in keys if k != "path"]
     live = rows.where(~F.col("tombstone"))
     kinds = live.where(~F.col("kind").isin("file", "directory")).select(*keys, F.lit("kind").alias("issue"))
     need = live.select(*keys, F.explode(P.ancestors(F.col("path"), proper=True)).alias("above"))
-    not_dirs = live.where(F.col("kind") != "directory").select(*group, F.col("path").alias("above"))
+    not_dirs = rows.where(F.col("tombstone") | (F.col("kind") != "directory")).select(*group, F.col("path").alias("above"))
     blocked = need.join(not_dirs, [*group, "above"], "left_semi").select(*keys).distinct().withColumn("issue", F.lit("ancestor"))
     prefixes = live.select(*group, F.explode(P.ancestors(F.col("path"))).alias("path")).distinct().withColumn("_k", collision_key)
     several = prefixes.groupBy(*group, "_k").agg(F.count("*").alias("n")).where("n > 1").select(*group, "_k")

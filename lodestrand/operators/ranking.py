@@ -28,3 +28,20 @@ def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column | st
     for g in group:
         same = same & F.col(f"s.{g}").eqNullSafe(F.col(f"o.{g}"))
     return stored.alias("s").join(offsets.alias("o"), same).select(*(F.col(f"s.{c}").alias(c) for c in df.columns), (F.col("s._place") + F.col("o._offset")).alias(name))
+
+
+#: Numbered rows that one task goes through for a running value.
+BLOCK = 100_000
+
+
+def running_max(df: DataFrame, group: Sequence[str], number: str, value: str, name: str) -> DataFrame:
+    """The greatest value up to each row of a group, in the order of its numbers from 1: within blocks of rows, and over the blocks before."""
+    block = F.floor((F.col(number) - 1) / BLOCK)
+    rows = df.withColumn("_block", block)
+    inside = Window.partitionBy(*group, "_block").orderBy(number).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*group, "_block").agg(F.max(value).alias("_m")).withColumn("_before", F.max("_m").over(earlier)).drop("_m")
+    same = F.col("r._block") == F.col("b._block")
+    for g in group:
+        same = same & F.col(f"r.{g}").eqNullSafe(F.col(f"b.{g}"))
+    return rows.withColumn("_here", F.max(value).over(inside)).alias("r").join(before.alias("b"), same).select(*(F.col(f"r.{c}").alias(c) for c in df.columns), F.greatest("r._here", "b._before").alias(name))

@@ -10,7 +10,7 @@ from ..functions.pyfuncs import collision_key
 from ..operators import merge as M
 from ..runtime import table
 from .registry import Registry
-from .relations import CONFLICT, RELATION, SNAP, local, remote, sides, sql_tidy
+from .relations import CONFLICT, RELATION, SNAP, local, pairs, remote, sides, sql_tidy
 
 query = Registry()
 KEYS = ["pass_id", "path"]
@@ -20,7 +20,7 @@ _CON = f"WITH {SNAP}, {RELATION}, {CONFLICT}"
 
 @query(_OUT + "SELECT outcome, count(*) AS n FROM oc GROUP BY ALL")
 def causal_merge_outcomes(spark, sf_dir):
-    return M.outcomes(local(spark, sf_dir), remote(spark, sf_dir), KEYS).groupBy("outcome").agg(F.count("*").alias("n"))
+    return M.pair_outcomes(pairs(spark, sf_dir)).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -33,18 +33,18 @@ UNION ALL SELECT pass_id, path, wk, ws, wh, wro, wt, vtext, outcome FROM e
 UNION ALL SELECT pass_id, conflict_path, xk, xs, xh, xro, false, vtext, 'conflict_copy' FROM e WHERE kept"""
 )
 def causal_merge_records(spark, sf_dir):
-    records, _ = M.merge(local(spark, sf_dir), remote(spark, sf_dir), KEYS)
+    records, _ = M.merge_pairs(pairs(spark, sf_dir), KEYS)
     return records.select("pass_id", "path", "kind", "size", "content_hash", "readonly", "tombstone", "vtext", "outcome")
 
 
 @query(_CON + "SELECT pass_id, path, conflict_path, winner_hash, loser_hash, outcome AS reason FROM e")
 def causal_conflicts(spark, sf_dir):
-    return M.merge(local(spark, sf_dir), remote(spark, sf_dir), KEYS)[1]
+    return M.merge_pairs(pairs(spark, sf_dir), KEYS)[1]
 
 
 @query(_CON + "SELECT pass_id, path, CASE WHEN conflict_path IS NULL THEN 'metadata' ELSE 'preserved_copy' END AS event FROM e")
 def conflict_events(spark, sf_dir):
-    conflicts = M.merge(local(spark, sf_dir), remote(spark, sf_dir), KEYS)[1]
+    conflicts = M.merge_pairs(pairs(spark, sf_dir), KEYS)[1]
     return conflicts.select("pass_id", "path", F.when(F.col("conflict_path").isNull(), "metadata").otherwise("preserved_copy").alias("event"))
 
 
@@ -54,12 +54,12 @@ def conflict_events(spark, sf_dir):
   count(*) FILTER (outcome IN ('right_only', 'before')) AS selected_right, count(*) FILTER (outcome IN ('equal_clock_divergence', 'concurrent_edit')) AS conflicts FROM oc GROUP BY ALL"""
 )
 def merge_stats(spark, sf_dir):
-    return M.merge_stats(M.outcomes(local(spark, sf_dir), remote(spark, sf_dir), KEYS), ["pass_id"])
+    return M.merge_stats(M.pair_outcomes(pairs(spark, sf_dir)), ["pass_id"])
 
 
 @query(_OUT + "SELECT pass_id, path, relation, both_text AS merged_vector FROM oc WHERE relation IS NOT NULL")
 def vector_relations(spark, sf_dir):
-    pair = M.paired(local(spark, sf_dir), remote(spark, sf_dir), KEYS).where("l.here AND r.here")
+    pair = pairs(spark, sf_dir).where("l.here AND r.here")
     both = R.vector_text(R.merged(F.col("l.vv"), F.col("r.vv")))
     return pair.select(*KEYS, R.relation(F.col("l.vv"), F.col("r.vv")).alias("relation"), both.alias("merged_vector"))
 
@@ -72,7 +72,7 @@ def vector_sizes(spark, sf_dir):
 
 @query(_OUT + "SELECT pass_id, path, same FROM oc WHERE in_l AND in_r")
 def same_state(spark, sf_dir):
-    return M.paired(local(spark, sf_dir), remote(spark, sf_dir), KEYS).where("l.here AND r.here").select(*KEYS, R.same("l", "r").alias("same"))
+    return pairs(spark, sf_dir).where("l.here AND r.here").select(*KEYS, R.same("l", "r").alias("same"))
 
 
 _ACT = _OUT + ", act AS (SELECT pass_id, path, CASE WHEN rt THEN 'delete' ELSE 'materialize' END AS action, rk AS kind, rs AS size, rh AS content_hash, rro AS readonly, rt AS tombstone FROM oc WHERE in_r AND (NOT in_l OR NOT same OR lv <> rv)) "
@@ -80,7 +80,7 @@ _ACT = _OUT + ", act AS (SELECT pass_id, path, CASE WHEN rt THEN 'delete' ELSE '
 
 @query(_ACT + "SELECT * FROM act")
 def actions_to_reach(spark, sf_dir):
-    return M.actions_to_reach(local(spark, sf_dir), remote(spark, sf_dir), KEYS)
+    return M.pair_actions(pairs(spark, sf_dir), KEYS)
 
 
 @query(
@@ -91,20 +91,20 @@ def actions_to_reach(spark, sf_dir):
 def apply_order(spark, sf_dir):
     from ..operators.ranking import number_rows
 
-    ordered = M.apply_order(M.actions_to_reach(local(spark, sf_dir), remote(spark, sf_dir), KEYS))
+    ordered = M.apply_order(M.pair_actions(pairs(spark, sf_dir), KEYS))
     return number_rows(ordered, ["pass_id"], ["phase", "rank_depth", "path"], "position").select("pass_id", "path", "action", "phase", "position")
 
 
 @query(_ACT + "SELECT pass_id, count(*) AS actions, count(*) FILTER (action = 'delete') AS deletions, CAST(coalesce(sum(size) FILTER (action = 'materialize' AND kind = 'file'), 0) AS BIGINT) AS pending_bytes FROM act GROUP BY ALL")
 def pending_work(spark, sf_dir):
-    acts = M.actions_to_reach(local(spark, sf_dir), remote(spark, sf_dir), KEYS)
+    acts = M.pair_actions(pairs(spark, sf_dir), KEYS)
     files = F.when((F.col("action") == "materialize") & (F.col("kind") == "file"), F.col("size"))
     return acts.groupBy("pass_id").agg(F.count("*").alias("actions"), F.count_if(F.col("action") == "delete").alias("deletions"), F.coalesce(F.sum(files), F.lit(0)).alias("pending_bytes"))
 
 
 @query(_ACT + "SELECT pass_id, tombstone, kind, count(*) AS n FROM act GROUP BY ALL")
 def action_groups(spark, sf_dir):
-    return M.actions_to_reach(local(spark, sf_dir), remote(spark, sf_dir), KEYS).groupBy("pass_id", "tombstone", "kind").agg(F.count("*").alias("n"))
+    return M.pair_actions(pairs(spark, sf_dir), KEYS).groupBy("pass_id", "tombstone", "kind").agg(F.count("*").alias("n"))
 
 
 @query("SELECT CAST(0 AS BIGINT) AS left_over")
@@ -119,7 +119,7 @@ _REQ = _ACT + """, req AS (SELECT DISTINCT pass_id, content_hash FROM act WHERE
 
 @query(_REQ + "SELECT pass_id, content_hash FROM req")
 def required_contents(spark, sf_dir):
-    acts = M.actions_to_reach(local(spark, sf_dir), remote(spark, sf_dir), KEYS)
+    acts = M.pair_actions(pairs(spark, sf_dir), KEYS)
     return acts.where("action = 'materialize' AND kind = 'file' AND content_hash IS NOT NULL").select("pass_id", "content_hash").distinct()
 
 
@@ -141,17 +141,17 @@ def content_sources(spark, sf_dir):
  SELECT * FROM ch WHERE NOT EXISTS (SELECT 1 FROM ch b WHERE b.pass_id = ch.pass_id AND (b.action = 'remove' OR b.kind <> 'directory') AND starts_with(ch.path, b.path || '/'))"""
 )
 def read_only_changes(spark, sf_dir):
-    return M.read_only_changes(local(spark, sf_dir), remote(spark, sf_dir), KEYS)
+    return M.pair_read_only_changes(pairs(spark, sf_dir), KEYS)
 
 
 @query(_OUT + "SELECT pass_id, path, CASE WHEN NOT in_l OR relation = 'before' THEN 'accept' WHEN relation = 'after' THEN 'stale' WHEN relation = 'concurrent' THEN 'concurrent' WHEN same THEN 'accept' ELSE 'divergent' END AS verdict FROM oc WHERE in_r")
 def causal_gate(spark, sf_dir):
-    return M.causal_gate(local(spark, sf_dir), remote(spark, sf_dir), KEYS)
+    return M.pair_gate(pairs(spark, sf_dir), KEYS)
 
 
 @query(_OUT + "SELECT * FROM (SELECT pass_id, path, CASE WHEN NOT in_r THEN 'missing' WHEN relation = 'after' THEN 'went_back' WHEN relation = 'concurrent' THEN 'concurrent' WHEN relation = 'equal' AND NOT same THEN 'changed_in_place' END AS violation FROM oc WHERE in_l) WHERE violation IS NOT NULL")
 def checkpoint_violations(spark, sf_dir):
-    return M.checkpoint_violations(local(spark, sf_dir), remote(spark, sf_dir), KEYS)
+    return M.pair_checkpoint_violations(pairs(spark, sf_dir), KEYS)
 
 
 _OWN = "own AS (SELECT min(replica) AS replica FROM ent), cap AS (SELECT pass_id, max(n) AS ceiling FROM ent, own WHERE ent.replica = own.replica AND side = 'local' GROUP BY ALL)"
@@ -239,7 +239,7 @@ def adoption(spark, sf_dir):
 )
 def apply_preconditions(spark, sf_dir):
     """Local rows as observed, remote rows as indexed: may a change be applied over what is there?"""
-    pair = M.paired(local(spark, sf_dir), remote(spark, sf_dir), KEYS)
+    pair = pairs(spark, sf_dir)
     verdict = (
         F.when(F.col("l.here").isNull(), F.when(F.col("r.tombstone"), "apply").otherwise("drift")).when(F.col("r.here").isNull(), "drift")
         .when(F.col("l.tombstone") & F.col("r.tombstone"), "apply").when(R.same("l", "r") & ~F.col("l.tombstone"), "apply").otherwise("drift")

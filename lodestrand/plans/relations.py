@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import records as R
 from ..functions.text import digest_bytes, tidy
+from ..operators.merge import paired_sides
 from ..runtime import table
 
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
@@ -20,16 +21,25 @@ def sql_key(c: str) -> str:
     return f"CASE WHEN regexp_full_match({sql_tidy(c)}, '[0-9a-f]{{64}}') THEN {sql_tidy(c)} END"
 
 
-def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both sides' records, one row per (pass_id, side, path)."""
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "snapshot_rows").where("pass_id IS NOT NULL AND path IS NOT NULL").select(
         "pass_id", tidy(F.col("side")).alias("side"), "path", "kind", "size", tidy(F.col("content_hash")).alias("content_hash"), "readonly", "tombstone", R.vector(F.col("version")).alias("vv")
     )
-    rows = rows.withColumn("vtext", R.vector_text(F.col("vv"))).drop("vv")
+    return rows.withColumn("vtext", R.vector_text(F.col("vv"))).drop("vv")
+
+
+def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides' records, one row per (pass_id, side, path)."""
+    rows = _placed(spark, sf_dir)
     best = F.max(F.struct(*(c for c in rows.columns if c not in ("pass_id", "side", "path")))).alias("_r")
     one = rows.groupBy("pass_id", "side", "path").agg(best).select("pass_id", "side", "path", "_r.*")
-    entries = F.transform(F.filter(F.split("vtext", ","), lambda e: e != ""), lambda e: F.struct(F.split_part(e, F.lit("="), F.lit(1)).alias("key"), F.split_part(e, F.lit("="), F.lit(2)).cast("bigint").alias("value")))
-    return one.withColumn("vv", F.map_from_entries(entries))
+    return one.withColumn("vv", R.vector_of(F.col("vtext")))
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pass_id, path, l, r): the local and the remote record of every path, from one aggregation."""
+    rows = _placed(spark, sf_dir).where("side IN ('local', 'remote')")
+    return paired_sides(rows, ["pass_id", "path"], F.col("side") == "local")
 
 
 def local(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import records as R
 from ..functions.pyfuncs import collision_key
 from ..functions.text import tidy
 from ..operators import merkle, scan
-from ..operators.snapdiff import snapshot_changes
+from ..operators.ranking import number_rows
 from ..runtime import table
 from .registry import Registry
 from .relations import LATEST, RECORDS, STEPS, latest, records, sql_tidy, steps
@@ -17,44 +17,141 @@ from .relations import LATEST, RECORDS, STEPS, latest, records, sql_tidy, steps
 query = Registry()
 KEYS = ["folder", "snap_no", "path"]
 
-_CHANGES = f"""WITH {STEPS}, ch AS (SELECT * FROM (SELECT coalesce(p.folder, c.folder) AS folder, coalesce(p.snap_no, c.snap_no) AS snap_no, coalesce(p.path, c.path) AS path,
-  CASE WHEN coalesce(NOT c.tombstone, false) AND NOT coalesce(NOT p.tombstone, false) THEN CASE WHEN p.path IS NOT NULL THEN 'recreated' ELSE 'created' END
-       WHEN coalesce(NOT p.tombstone, false) AND NOT coalesce(NOT c.tombstone, false) THEN 'deleted'
-       WHEN NOT p.tombstone AND NOT c.tombstone THEN CASE WHEN p.kind IS NOT DISTINCT FROM c.kind AND p.size IS NOT DISTINCT FROM c.size AND p.content_hash IS NOT DISTINCT FROM c.content_hash AND p.readonly IS NOT DISTINCT FROM c.readonly THEN 'unchanged' ELSE 'modified' END END AS change
-  FROM prev p FULL JOIN cur c ON p.folder = c.folder AND p.snap_no = c.snap_no AND p.path = c.path) WHERE change IS NOT NULL)"""
+_MATCH = " AND ".join(f"p.{f} IS NOT DISTINCT FROM c.{f}" for f in ("kind", "id_namespace", "id_object", "size", "modified_ns", "readonly", "content_hash"))
 
 
-@query(_CHANGES + " SELECT * FROM ch WHERE change <> 'unchanged'")
+def _changes_sql(unread: str | None = None) -> str:
+    """The scan's rule by steps: match, what vanished and what is new, the identities that only one of each has, and what is left."""
+    kept = f"(path = '{unread}' OR starts_with(path, '{unread}/'))" if unread else "false"
+    return f"""WITH {STEPS}, vanished AS (SELECT * FROM prev WHERE NOT tombstone AND NOT EXISTS (SELECT 1 FROM cur c WHERE NOT c.tombstone AND c.folder = prev.folder AND c.snap_no = prev.snap_no AND c.path = prev.path)),
+  gone AS (SELECT * FROM vanished WHERE NOT {kept}),
+  fresh AS (SELECT * FROM cur WHERE NOT tombstone AND NOT EXISTS (SELECT 1 FROM prev p WHERE NOT p.tombstone AND p.folder = cur.folder AND p.snap_no = cur.snap_no AND p.path = cur.path)),
+  one_gone AS (SELECT * FROM gone WHERE id_namespace IS NOT NULL AND id_object IS NOT NULL QUALIFY count(*) OVER (PARTITION BY folder, snap_no, kind, id_namespace, id_object) = 1),
+  one_fresh AS (SELECT * FROM fresh WHERE id_namespace IS NOT NULL AND id_object IS NOT NULL QUALIFY count(*) OVER (PARTITION BY folder, snap_no, kind, id_namespace, id_object) = 1),
+  moved AS (SELECT p.folder, p.snap_no, p.path, c.path AS to_path, p.generation AS version FROM one_gone p JOIN one_fresh c ON p.folder = c.folder AND p.snap_no = c.snap_no AND {_MATCH}),
+  ch AS (SELECT p.folder, p.snap_no, p.path, CASE WHEN {_MATCH} THEN 'unchanged' ELSE 'modified' END AS change, NULL AS to_path, p.generation AS version
+           FROM prev p JOIN cur c ON p.folder = c.folder AND p.snap_no = c.snap_no AND p.path = c.path WHERE NOT p.tombstone AND NOT c.tombstone
+         UNION ALL SELECT f.folder, f.snap_no, f.path, 'created', NULL, coalesce(p.generation, 0) FROM fresh f LEFT JOIN prev p ON p.folder = f.folder AND p.snap_no = f.snap_no AND p.path = f.path
+           WHERE NOT EXISTS (SELECT 1 FROM moved m WHERE m.folder = f.folder AND m.snap_no = f.snap_no AND m.to_path = f.path)
+         UNION ALL SELECT folder, snap_no, path, 'deleted', NULL, generation FROM gone WHERE NOT EXISTS (SELECT 1 FROM moved m WHERE m.folder = gone.folder AND m.snap_no = gone.snap_no AND m.path = gone.path)
+         UNION ALL SELECT folder, snap_no, path, 'preserved', NULL, generation FROM vanished WHERE {kept}
+         UNION ALL SELECT folder, snap_no, path, 'renamed', to_path, version FROM moved)"""
+
+
+_CHANGES = _changes_sql()
+
+
+def _steps(spark, sf_dir):
+    """A stored row's generation stands for the counter that this replica's entry in its version has."""
+    previous, current = steps(spark, sf_dir)
+    return previous.withColumn("version", F.col("generation")), current
+
+
+def _changes(spark, sf_dir):
+    return scan.scan_changes(*_steps(spark, sf_dir), KEYS)
+
+
+@query(_CHANGES + " SELECT folder, snap_no, path, change, to_path FROM ch WHERE change <> 'unchanged'")
 def scan_changes(spark, sf_dir):
-    return scan.scan_changes(*steps(spark, sf_dir), KEYS).where("change <> 'unchanged'")
+    return _changes(spark, sf_dir).where("change <> 'unchanged'").select(*KEYS, "change", "to_path")
 
 
-@query(_CHANGES + " SELECT folder, snap_no, count(*) FILTER (change = 'unchanged') AS unchanged, count(*) FILTER (change IN ('created', 'recreated')) AS created, count(*) FILTER (change = 'modified') AS modified, count(*) FILTER (change = 'deleted') AS deleted, count(*) FILTER (change <> 'deleted') AS live FROM ch GROUP BY ALL")
+_HASHED = f"""todo AS (SELECT c.folder, c.snap_no, c.path FROM cur c LEFT JOIN prev p ON p.folder = c.folder AND p.snap_no = c.snap_no AND p.path = c.path WHERE NOT c.tombstone AND c.kind = 'file'
+   AND NOT coalesce(NOT p.tombstone AND {_MATCH.rsplit(' AND ', 1)[0]} AND p.content_hash IS NOT NULL, false))"""
+_RETRIES = "retry AS (SELECT folder, snap_no, path, generation % 4 + 1 AS attempts, (generation % 7 + snap_no) * 1000 AS not_before_ms, 'error ' || generation AS last_error FROM prev WHERE generation % 5 = 0)"
+
+
+def _retries(previous):
+    """Retries as an earlier scan might have left them: every fifth generation failed."""
+    g = F.col("generation")
+    return previous.where(g % 5 == 0).select(*KEYS, (g % 4 + 1).alias("attempts"), ((g % 7 + F.col("snap_no")) * 1000).alias("not_before_ms"), F.concat(F.lit("error "), g.cast("string")).alias("last_error"))
+
+
+@query(_CHANGES + f""", {_HASHED}, {_RETRIES} SELECT ch.folder, ch.snap_no, count(*) FILTER (change = 'unchanged') AS unchanged, count(*) FILTER (change = 'created') AS created, count(*) FILTER (change = 'modified') AS modified,
+ count(*) FILTER (change = 'renamed') AS renamed, count(*) FILTER (change = 'deleted') AS deleted, count(*) FILTER (change <> 'deleted') AS live,
+ (SELECT count(*) FROM todo WHERE todo.folder = ch.folder AND todo.snap_no = ch.snap_no) AS files_hashed, (SELECT count(*) FROM retry WHERE retry.folder = ch.folder AND retry.snap_no = ch.snap_no) AS retries_queued FROM ch GROUP BY ch.folder, ch.snap_no""")
 def scan_report(spark, sf_dir):
-    ch = scan.scan_changes(*steps(spark, sf_dir), KEYS)
-    is_ = lambda *v: F.count_if(F.col("change").isin(*v))
-    return ch.groupBy("folder", "snap_no").agg(is_("unchanged").alias("unchanged"), is_("created", "recreated").alias("created"), is_("modified").alias("modified"), is_("deleted").alias("deleted"), F.count_if(F.col("change") != "deleted").alias("live"))
+    previous, current = _steps(spark, sf_dir)
+    hashed = scan.reuse_hashes(previous, current, KEYS).where("decision = 'hash'")
+    return scan.scan_report(scan.scan_changes(previous, current, KEYS), hashed, _retries(previous), ["folder", "snap_no"])
 
 
-@query(_CHANGES + " SELECT folder, snap_no, path, change, row_number() OVER (PARTITION BY folder, snap_no ORDER BY (change = 'deleted')::INT, path) AS counter FROM ch WHERE change <> 'unchanged'")
+_ORDERED = """ranked AS (SELECT *, row_number() OVER (PARTITION BY folder, snap_no ORDER BY (change = 'deleted')::INT, coalesce(to_path, path)) AS n FROM ch WHERE change NOT IN ('unchanged', 'preserved')),
+ counted AS (SELECT *, CAST(n + greatest(snap_no * 2, max(version - n + 1) OVER (PARTITION BY folder, snap_no ORDER BY n)) AS BIGINT) AS counter FROM ranked)"""
+
+
+@query(_CHANGES + f", {_ORDERED} SELECT folder, snap_no, path, change, to_path, counter FROM counted")
 def counter_assignment(spark, sf_dir):
-    ch = scan.scan_changes(*steps(spark, sf_dir), KEYS).where("change <> 'unchanged'")
-    return scan.counter_assignment(ch, ["folder", "snap_no"], F.lit(0)).select(*KEYS, "change", "counter")
+    """From a stored counter of twice the step's number."""
+    return scan.counter_assignment(_changes(spark, sf_dir), ["folder", "snap_no"], F.col("snap_no") * 2).select(*KEYS, "change", "to_path", "counter")
 
 
-@query(None)
+_FIELDS = ("kind", "id_namespace", "id_object", "size", "modified_ns", "readonly", "content_hash")
+
+
+@query(_CHANGES + f""", {_ORDERED}, marks AS (SELECT folder, snap_no, coalesce(to_path, path) AS path, change <> 'deleted' AS stays, counter FROM counted UNION ALL SELECT folder, snap_no, path, false, counter FROM counted WHERE change = 'renamed')
+SELECT m.folder, m.snap_no, m.path, {', '.join(f'c.{f}' for f in _FIELDS)}, false AS tombstone, m.counter AS version FROM marks m JOIN cur c ON c.folder = m.folder AND c.snap_no = m.snap_no AND c.path = m.path WHERE stays AND NOT c.tombstone
+UNION ALL SELECT p.folder, p.snap_no, p.path, {', '.join(f'p.{f}' for f in _FIELDS)}, p.tombstone OR m.counter IS NOT NULL, coalesce(m.counter, p.generation, 0) FROM prev p LEFT JOIN marks m ON p.folder = m.folder AND p.snap_no = m.snap_no AND p.path = m.path WHERE m.stays IS NOT TRUE""")
+def scan_commit(spark, sf_dir):
+    """The whole scan as one job: changes with renames, counters, and the index that is stored after it."""
+    previous, current = _steps(spark, sf_dir)
+    numbered = scan.counter_assignment(scan.scan_changes(previous, current, KEYS), ["folder", "snap_no"], F.col("snap_no") * 2)
+    return scan.next_records(previous, current, numbered, KEYS)
+
+
+@query(_CHANGES + ", named AS (SELECT folder, snap_no, path, change FROM ch WHERE change NOT IN ('unchanged', 'preserved')) SELECT *, row_number() OVER (PARTITION BY folder ORDER BY snap_no, path, change) AS position FROM named")
+def change_order(spark, sf_dir):
+    """A report's changes by path, then kind."""
+    named = _changes(spark, sf_dir).where("change <> 'unchanged'").select(*KEYS, "change")
+    return number_rows(named, ["folder"], ["snap_no", "path", "change"], "position")
+
+
+_UNREAD = _changes_sql("inbox")
+
+
+@query(_UNREAD + " SELECT folder, snap_no, path FROM ch WHERE change = 'deleted'")
 def deleted_paths(spark, sf_dir):
     """Deletions that are no renames; the folder 'inbox' counts as unreadable, so what vanished below it is kept."""
-    previous, current = steps(spark, sf_dir)
-    moved = snapshot_changes(table(spark, sf_dir, "index_records")).where("change_kind = 'renamed'").select(*KEYS)
-    unread = current.select("folder", "snap_no").distinct().withColumn("prefix", F.lit("inbox"))
-    return scan.deletions(previous, current, KEYS, moved, unread)
+    return scan.deletions(_unread_changes(spark, sf_dir), KEYS)
+
+
+def _unread(current):
+    return current.select("folder", "snap_no").distinct().withColumn("prefix", F.lit("inbox"))
+
+
+def _unread_changes(spark, sf_dir):
+    previous, current = _steps(spark, sf_dir)
+    return scan.scan_changes(previous, current, KEYS, _unread(current))
+
+
+@query(f"WITH {STEPS}, {_HASHED}, {_RETRIES} SELECT todo.*, CASE WHEN not_before_ms > todo.snap_no * 1000 + 2500 THEN 'defer' ELSE 'hash' END AS turn FROM todo LEFT JOIN retry ON retry.folder = todo.folder AND retry.snap_no = todo.snap_no AND retry.path = todo.path")
+def deferred_files(spark, sf_dir):
+    """Which files a scan reads now, and which wait for their time to be tried again."""
+    previous, current = _steps(spark, sf_dir)
+    wanted = scan.reuse_hashes(previous, current, KEYS).where("decision = 'hash'").select(*KEYS)
+    return scan.deferred(wanted, _retries(previous), KEYS, F.col("snap_no") * 1000 + 2500)
+
+
+@query(_UNREAD + f""", {_RETRIES}, bad AS (SELECT folder, snap_no, path FROM cur WHERE NOT tombstone AND generation % 3 = 0), ended AS (SELECT folder, snap_no, path FROM ch WHERE change IN ('deleted', 'renamed') UNION SELECT folder, snap_no, to_path FROM ch WHERE change = 'renamed'
+   UNION SELECT folder, snap_no, path FROM cur WHERE NOT tombstone AND coalesce(generation % 3 <> 0, true)),
+ kept AS (SELECT * FROM retry r WHERE (EXISTS (SELECT 1 FROM cur c WHERE NOT c.tombstone AND c.folder = r.folder AND c.snap_no = r.snap_no AND c.path = r.path) OR path = 'inbox' OR starts_with(path, 'inbox/'))
+   AND NOT EXISTS (SELECT 1 FROM ended e WHERE e.folder = r.folder AND e.snap_no = r.snap_no AND e.path = r.path))
+SELECT coalesce(k.folder, b.folder) AS folder, coalesce(k.snap_no, b.snap_no) AS snap_no, coalesce(k.path, b.path) AS path, CAST(CASE WHEN b.path IS NULL THEN attempts ELSE coalesce(attempts, 0) + 1 END AS BIGINT) AS attempts,
+  CAST(CASE WHEN b.path IS NULL THEN not_before_ms ELSE b.snap_no * 1000 + least(500 * power(2, least(coalesce(attempts, 0), 31)), 300000) END AS BIGINT) AS not_before_ms, CASE WHEN b.path IS NULL THEN last_error ELSE 'unreadable' END AS last_error
+FROM kept k FULL JOIN bad b ON k.folder = b.folder AND k.snap_no = b.snap_no AND k.path = b.path""")
+def retry_queue(spark, sf_dir):
+    """The retries after a scan in which every third generation couldn't be read."""
+    previous, current = _steps(spark, sf_dir)
+    live = current.where(~F.col("tombstone"))
+    failed = F.coalesce(F.col("generation") % 3 == 0, F.lit(False))
+    failures = live.where(failed).select(*KEYS, F.lit("unreadable").alias("last_error"))
+    seen = live.select(*KEYS, (~failed).alias("ok"))
+    return scan.next_retries(_retries(previous), seen, _unread(current), _unread_changes(spark, sf_dir), failures, KEYS, F.col("snap_no") * 1000)
 
 
 @query(
     f"""WITH {STEPS} SELECT c.folder, c.snap_no, c.path, CASE WHEN c.kind <> 'file' THEN 'none' WHEN d THEN 'reuse' ELSE 'hash' END AS decision, CASE WHEN c.kind = 'file' AND d THEN ph END AS content_hash FROM (
-  SELECT c.*, p.content_hash AS ph, coalesce(NOT p.tombstone AND p.kind IS NOT DISTINCT FROM c.kind AND p.size IS NOT DISTINCT FROM c.size AND p.modified_ns IS NOT DISTINCT FROM c.modified_ns AND p.readonly IS NOT DISTINCT FROM c.readonly
-    AND p.content_hash IS NOT NULL AND p.modified_ns IS NOT NULL, false) AS d FROM cur c LEFT JOIN prev p ON p.folder = c.folder AND p.snap_no = c.snap_no AND p.path = c.path WHERE NOT c.tombstone) c"""
+  SELECT c.*, p.content_hash AS ph, coalesce(NOT p.tombstone AND {_MATCH.rsplit(' AND ', 1)[0]} AND p.content_hash IS NOT NULL, false) AS d FROM cur c LEFT JOIN prev p ON p.folder = c.folder AND p.snap_no = c.snap_no AND p.path = c.path WHERE NOT c.tombstone) c"""
 )
 def incremental_hash_reuse(spark, sf_dir):
     return scan.reuse_hashes(*steps(spark, sf_dir), KEYS)
