@@ -10,7 +10,7 @@ from ..functions.pyfuncs import collision_key
 from ..functions.text import tidy
 from ..operators import merkle, scan
 from ..operators.ranking import number_rows
-from ..runtime import table
+from ..runtime import cut, table
 from .registry import Registry
 from .relations import LATEST, RECORDS, STEPS, latest, records, sql_tidy, steps
 
@@ -273,22 +273,17 @@ def conflict_names(spark, sf_dir):
 
 
 _OWN = "sha256('state|' || coalesce(kind, '-') || '|' || coalesce(size::VARCHAR, '-') || '|' || coalesce(content_hash, '-') || '|' || CASE WHEN readonly THEN '1' ELSE '0' END || '|' || CASE WHEN tombstone THEN '1' ELSE '0' END)"
-_DEPTHS = 8
 
 
 def _tree_sql(source: str, prefix: str, group: str) -> str:
-    """The roll-up, depth by depth, for paths of at most _DEPTHS components."""
+    """Every prefix with the word-wise sum of the digests below it."""
     g = ", ".join(group.split())
-    out = f"""{prefix}leaf AS (SELECT {g}, path, {_OWN} AS own_hash FROM {source}),
- {prefix}pre AS (SELECT DISTINCT {g}, array_to_string(p[1:i], '/') AS prefix, i AS depth FROM (SELECT {g}, string_split(path, '/') AS p, unnest(range(1, len(string_split(path, '/')) + 1)) AS i FROM {prefix}leaf)),
- {prefix}base AS (SELECT pre.*, own_hash, CASE WHEN contains(prefix, '/') THEN regexp_replace(prefix, '/[^/]*$', '') ELSE '' END AS parent FROM {prefix}pre pre LEFT JOIN {prefix}leaf leaf ON {' AND '.join(f'pre.{c} = leaf.{c}' for c in group.split())} AND pre.prefix = leaf.path
-   UNION ALL SELECT DISTINCT {g}, '', 0, NULL, NULL FROM {prefix}leaf)"""
-    for d in range(_DEPTHS, -1, -1):
-        kids = f"""SELECT {g}, parent AS prefix, string_agg(regexp_extract(prefix, '([^/]*)$', 1) || '=' || hash || '=' || record_count, ';' ORDER BY regexp_extract(prefix, '([^/]*)$', 1)) AS children, sum(record_count) AS n FROM {prefix}d{d + 1} GROUP BY ALL""" if d < _DEPTHS else f"SELECT {g}, '' AS prefix, '' AS children, 0 AS n FROM {prefix}base WHERE false"
-        out += f""",
- {prefix}d{d} AS (SELECT {', '.join('b.' + c for c in group.split())}, b.prefix, b.parent, b.depth, b.own_hash, sha256('node|' || coalesce(b.own_hash, '-') || '|' || coalesce(k.children, '')) AS hash, CAST(coalesce(k.n, 0) + CASE WHEN b.own_hash IS NULL THEN 0 ELSE 1 END AS BIGINT) AS record_count
-   FROM {prefix}base b LEFT JOIN ({kids}) k ON {' AND '.join(f'b.{c} = k.{c}' for c in group.split())} AND b.prefix = k.prefix WHERE b.depth = {d})"""
-    return out + f",\n {prefix}tree AS (" + " UNION ALL ".join(f"SELECT * FROM {prefix}d{d}" for d in range(_DEPTHS + 1)) + ")"
+    words = ", ".join(f"('0x' || substring(d, {8 * i + 1}, 8))::BIGINT AS w{i}" for i in range(8))
+    text = " || ".join(f"lpad(to_hex(CAST(sum(w{i}) % 4294967296 AS BIGINT)), 8, '0')" for i in range(8))
+    return f"""{prefix}leaf AS (SELECT {g}, path, own_hash, {words} FROM (SELECT *, sha256('node|' || path || '|' || own_hash) AS d FROM (SELECT {g}, path, {_OWN} AS own_hash FROM {source}))),
+ {prefix}spots AS (SELECT *, array_to_string(string_split(path, '/')[1:i], '/') AS prefix, i AS depth FROM (SELECT *, unnest(range(0, len(string_split(path, '/')) + 1)) AS i FROM {prefix}leaf)),
+ {prefix}tree AS (SELECT {g}, prefix, CASE WHEN depth = 0 THEN NULL WHEN contains(prefix, '/') THEN regexp_replace(prefix, '/[^/]*$', '') ELSE '' END AS parent, depth, max(own_hash) FILTER (prefix = path AND depth > 0) AS own_hash,
+   lower({text}) AS hash, count(*) AS record_count FROM {prefix}spots GROUP BY {g}, prefix, depth)"""
 
 
 _TREE = f"WITH {LATEST}, {_tree_sql('latest', '', 'folder')} "
@@ -301,7 +296,7 @@ def merkle_nodes(spark, sf_dir):
 
 @query(_TREE + "SELECT folder, hash AS root_hash, record_count FROM tree WHERE depth = 0")
 def merkle_root(spark, sf_dir):
-    return merkle_nodes(spark, sf_dir).where("depth = 0").select("folder", F.col("hash").alias("root_hash"), "record_count")
+    return merkle.roots(latest(spark, sf_dir), ["folder"], R.state_hash())
 
 
 @query(_TREE + "SELECT folder, parent, regexp_extract(prefix, '([^/]*)$', 1) AS name, hash, record_count FROM tree WHERE parent IS NOT NULL")
@@ -309,15 +304,55 @@ def node_children(spark, sf_dir):
     return merkle.children(merkle_nodes(spark, sf_dir), ["folder"])
 
 
-@query(_TREE + "SELECT folder, prefix FROM tree WHERE false")
+_DAMAGED = """summ AS (SELECT folder, prefix, CASE WHEN own_hash IS NULL THEN NULL WHEN starts_with(hash, '00') THEN prefix || 'x' ELSE prefix END AS record_path, record_count + CASE WHEN starts_with(hash, 'f1') THEN 1 ELSE 0 END AS record_count FROM tree),
+ kids AS (SELECT folder, parent AS prefix, regexp_extract(prefix, '([^/]*)$', 1) AS name, hash, record_count FROM tree WHERE parent IS NOT NULL),
+ sent AS (SELECT folder, prefix, CASE WHEN starts_with(hash, '0a') THEN name || '/..' ELSE name END AS name, CASE WHEN starts_with(hash, '0b') THEN 0 ELSE record_count END AS record_count,
+   row_number() OVER (PARTITION BY folder, prefix ORDER BY CASE WHEN starts_with(hash, '0c') THEN '' ELSE name END, name) - 1 AS ordinal FROM kids)"""
+
+
+@query(_TREE + f""", {_DAMAGED} SELECT DISTINCT folder, prefix, issue FROM (
+  SELECT folder, prefix, 'empty' AS issue FROM sent WHERE record_count <= 0 UNION ALL SELECT folder, prefix, 'record' FROM summ WHERE record_path <> prefix
+  UNION ALL SELECT folder, prefix, 'name' FROM sent WHERE contains(name, '/') OR suffix(name, '.') OR suffix(name, ' ') OR regexp_matches(name, '[<>:"|?*\\x00-\\x1f\\x7f\\\\]') OR octet_length(encode(name)) > 255 OR regexp_full_match(upper(rtrim(split_part(name, '.', 1), ' ')), 'CON|PRN|AUX|NUL|CLOCK\\$|CONIN\\$|CONOUT\\$|(COM|LPT)[1-9¹²³]')
+  UNION ALL SELECT folder, prefix, 'order' FROM (SELECT *, lag(name) OVER (PARTITION BY folder, prefix ORDER BY ordinal) AS before FROM sent) WHERE before >= name
+  UNION ALL SELECT s.folder, s.prefix, 'count' FROM summ s LEFT JOIN (SELECT folder, prefix, sum(record_count) AS n FROM sent GROUP BY ALL) k ON k.folder = s.folder AND k.prefix = s.prefix WHERE s.record_count <> coalesce(k.n, 0) + CASE WHEN s.record_path IS NULL THEN 0 ELSE 1 END)""")
 def snapshot_summary_violations(spark, sf_dir):
-    return merkle.summary_issues(merkle_nodes(spark, sf_dir), ["folder"])
+    """Over summaries as a faulty peer might send them: by a node's hash, records of another path, children out of order, wrong counts and names."""
+    tree = cut(merkle_nodes(spark, sf_dir))
+    bad = lambda p: F.startswith("hash", F.lit(p))
+    summaries = tree.select("folder", "prefix", F.when(F.col("own_hash").isNotNull(), F.when(bad("00"), F.concat("prefix", F.lit("x"))).otherwise(F.col("prefix"))).alias("record_path"), (F.col("record_count") + F.when(bad("f1"), 1).otherwise(0)).alias("record_count"))
+    kids = merkle.children(tree, ["folder"]).withColumnRenamed("parent", "prefix").withColumn("_first", F.when(bad("0c"), "").otherwise(F.col("name")))
+    sent = number_rows(kids, ["folder", "prefix"], ["_first", "name"], "n").select(
+        "folder", "prefix", F.when(bad("0a"), F.concat("name", F.lit("/.."))).otherwise(F.col("name")).alias("name"), F.when(bad("0b"), 0).otherwise(F.col("record_count")).alias("record_count"), (F.col("n") - 1).alias("ordinal")
+    )
+    return merkle.summary_issues(summaries, sent, ["folder"])
+
+
+_STEP_TREES = f"WITH {STEPS}, {_tree_sql('prev', 'p', 'folder snap_no')}, {_tree_sql('cur', 'c', 'folder snap_no')} "
 
 
 @query(f"WITH {STEPS}, a AS (SELECT *, {_OWN} AS own FROM prev), b AS (SELECT *, {_OWN} AS own FROM cur) SELECT coalesce(a.folder, b.folder) AS folder, coalesce(a.snap_no, b.snap_no) AS snap_no, coalesce(a.path, b.path) AS path FROM a FULL JOIN b ON a.folder = b.folder AND a.snap_no = b.snap_no AND a.path = b.path WHERE a.own IS DISTINCT FROM b.own")
 def merkle_diff(spark, sf_dir):
+    previous, current = steps(spark, sf_dir)
+    both = previous.withColumn("is_left", F.lit(True)).unionByName(current.withColumn("is_left", F.lit(False)))
+    return merkle.differing_rows(both, KEYS, F.col("is_left"), R.state_hash())
+
+
+@query(_STEP_TREES + "SELECT c.folder, c.snap_no, count(*) AS nodes FROM ctree c LEFT JOIN ptree p ON p.folder = c.folder AND p.snap_no = c.snap_no AND p.prefix = c.prefix WHERE c.prefix = '' OR p.hash IS DISTINCT FROM c.hash OR p.record_count IS DISTINCT FROM c.record_count GROUP BY ALL")
+def merkle_queries(spark, sf_dir):
+    """How many nodes of the later tree a descent asks for."""
     trees = [merkle.nodes(s, ["folder", "snap_no"], R.state_hash()) for s in steps(spark, sf_dir)]
-    return merkle.differing(*trees, ["folder", "snap_no"])
+    return merkle.visited(*trees, ["folder", "snap_no"])
+
+
+@query(_STEP_TREES + """, alike AS (SELECT folder, snap_no, prefix FROM ctree JOIN ptree USING (folder, snap_no, prefix) WHERE ctree.hash = ptree.hash AND ctree.record_count = ptree.record_count)
+ SELECT folder, snap_no, path, kind, size, content_hash, CASE WHEN EXISTS (SELECT 1 FROM cspots s JOIN alike USING (folder, snap_no, prefix) WHERE s.folder = cur.folder AND s.snap_no = cur.snap_no AND s.path = cur.path) THEN 'reused' ELSE 'fetched' END AS origin FROM cur""")
+def snapshot_reconstruction(spark, sf_dir):
+    """The later snapshot of every step, put together from the earlier one's equal subtrees and the rows that must be fetched."""
+    group = ["folder", "snap_no"]
+    previous, current = steps(spark, sf_dir)
+    trees = [cut(merkle.nodes(s, group, R.state_hash())) for s in (previous, current)]
+    columns = [*KEYS, "kind", "size", "content_hash"]
+    return merkle.reconstruct(previous.select(*columns), current.select(*columns), *trees, group)
 
 
 @query(f"WITH {LATEST} SELECT folder, path, kind FROM latest WHERE path = 'ledger' OR starts_with(path, 'ledger/')")
