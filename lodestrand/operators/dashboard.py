@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.display import field_rank, json_kind
+
 
 def search(df: DataFrame, text: str, *columns: str) -> DataFrame:
     """Rows in which the columns, side by side, contain the text, whatever its case."""
@@ -12,10 +14,33 @@ def search(df: DataFrame, text: str, *columns: str) -> DataFrame:
 
 
 def page(df: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
-    """A page, clamped to those there are."""
-    pages = max(1, -(-df.count() // size))
-    at = min(max(number, 1), pages) - 1
-    return df.orderBy(*order).offset(at * size).limit(size)
+    """A page, clamped to those there are: a page beyond the last is the last. Only the rows up to the page are kept, as top-k of each task."""
+    at = max(number, 1)
+    placed = df.orderBy(*order).limit(at * size).withColumn("_id", F.monotonically_increasing_id())
+    ranked = placed.withColumn("_n", F.row_number().over(Window.orderBy("_id")))  # at most number * size rows
+    met = ranked.withColumn("_all", F.count("*").over(Window.orderBy("_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    first = F.greatest(F.least(F.lit(at), F.ceil(F.col("_all") / size)) - 1, F.lit(0)) * size
+    return met.where(F.col("_n") > first).drop("_id", "_n", "_all")
+
+
+def first_of(df: DataFrame, group: list[str], order: list[str], size: int) -> DataFrame:
+    """The first rows of each group with the group's ``total``. The rank filter is pushed below the shuffle, so a large group stays small."""
+    at = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    shown = df.withColumn("_n", at).where(F.col("_n") <= size).drop("_n")
+    return shown.join(df.groupBy(*group).agg(F.count("*").alias("total")), group)
+
+
+def capped(df: DataFrame, count: str, most: int, what: str) -> DataFrame:
+    """The rows as they are; one with more than so many is an error."""
+    return df.withColumn(count, F.when(F.col(count) <= most, F.col(count)).otherwise(F.raise_error(F.lit(what)).cast("bigint")))
+
+
+def ordered_fields(df: DataFrame, report: str, keys: list[str]) -> DataFrame:
+    """(*keys, field, position from 1): the fields of a JSON report in the order they are shown."""
+    parsed = df.select(*keys, F.try_parse_json(report).alias("_v"))
+    fields = parsed.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_v").outer())).select(*keys, F.col("key").alias("field"), field_rank(F.col("key"), json_kind(F.col("value"))).alias("_r"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_r", "field"))  # one report's fields
+    return fields.select(*keys, "field", place.cast("bigint").alias("position"))
 
 
 def linked_folders(devices: DataFrame, folders: DataFrame) -> DataFrame:
@@ -31,8 +56,6 @@ def linked_folders(devices: DataFrame, folders: DataFrame) -> DataFrame:
 
 def bounded_sections(rows: DataFrame, group: str, text: str, size: int = 8) -> DataFrame:
     """The first entries of every section and how many more there are; a section is kept as its smallest entries while it is aggregated."""
-    from pyspark.sql import Window
-
     first = F.row_number().over(Window.partitionBy(group).orderBy(text))
     shown = rows.withColumn("_n", first).where(F.col("_n") <= size).drop("_n")
     counted = rows.groupBy(group).agg(F.greatest(F.count("*") - size, F.lit(0)).alias("omitted"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import display as D
@@ -197,18 +196,30 @@ def relative_time(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", D.ago(F.col("p_partkey") * 311).alias("shown"))
 
 
-@query("SELECT p_partkey, replace(replace(replace(t, '\\', '\\\\'), chr(10), '\\n'), chr(9), '\\t') AS shown FROM (SELECT p_partkey, p_name || chr(10) || p_type || chr(9) || '\\' AS t FROM part)")
+_RISKY = "p_name || chr(10) || p_type || chr(9) || '\\' || chr(8238) || CASE WHEN p_size % 2 = 0 THEN chr(27) || '[2J' ELSE chr(133) END"
+
+
+@query(f"SELECT p_partkey, replace(replace(replace(replace(replace(t, chr(10), '\\n'), chr(9), '\\t'), chr(8238), '\\u{{202e}}'), chr(27), '\\u{{001b}}'), chr(133), '\\u{{0085}}') AS shown FROM (SELECT p_partkey, {_RISKY} AS t FROM part)")
 def escaped_text(spark, sf_dir):
-    text = F.concat("p_name", F.lit("\n"), "p_type", F.lit("\t\\"))
+    text = F.concat("p_name", F.lit("\n"), "p_type", F.lit("\t\\\u202e"), F.when(F.col("p_size") % 2 == 0, "\x1b[2J").otherwise("\x85"))
     return table(spark, sf_dir, "part").select("p_partkey", D.escaped(text).alias("shown"))
 
 
-@query("SELECT p_partkey, upper(k[1]) || k[2:] AS label, CASE WHEN length(p_name || ' ' || p_type) > 20 THEN (p_name || ' ' || p_type)[1:20] || ' (+' || (length(p_name || ' ' || p_type) - 20) || ')' ELSE p_name || ' ' || p_type END AS bounded FROM (SELECT *, replace('local_' || lower(p_brand) || '_root', '_', ' ') AS k FROM part)")
+@query("""SELECT p_partkey, CASE k WHEN 'endpoint_id' THEN 'Endpoint ID' WHEN 'relay_urls' THEN 'Relay URLs' WHEN 'local_before_root' THEN 'Local before root' WHEN 'size' THEN 'Size' ELSE k END AS label,
+ CASE WHEN length(p_name || ' ' || p_type) > 20 THEN (p_name || ' ' || p_type)[1:20] || '... [' || (length(p_name || ' ' || p_type) - 20) || ' characters omitted]' ELSE p_name || ' ' || p_type END AS bounded
+ FROM (SELECT *, CASE p_size % 5 WHEN 0 THEN 'endpoint_id' WHEN 1 THEN 'relay_urls' WHEN 2 THEN 'local_before_root' WHEN 3 THEN 'size' ELSE 'a_' || p_name END AS k FROM part)""")
 def labels(spark, sf_dir):
-    key = F.concat(F.lit("local_"), F.lower("p_brand"), F.lit("_root"))
+    m = F.col("p_size") % 5
+    key = F.when(m == 0, "endpoint_id").when(m == 1, "relay_urls").when(m == 2, "local_before_root").when(m == 3, "size").otherwise(F.concat(F.lit("a_"), "p_name"))
     return table(spark, sf_dir, "part").select("p_partkey", D.label(key).alias("label"), D.bounded(F.concat_ws(" ", "p_name", "p_type"), 20).alias("bounded"))
 
 
+@query("SELECT p_partkey, CASE WHEN s < 3600 THEN s // 60 || 'm' ELSE s // 3600 || 'h ' || (s % 3600) // 60 || 'm' END AS uptime, strftime(make_timestamp(1700000000000000 + s * 1000000), '%b %-d %H:%M') AS at FROM (SELECT p_partkey, p_partkey * 311 AS s FROM part)")
+def uptimes(spark, sf_dir):
+    s = F.col("p_partkey") * 311
+    return table(spark, sf_dir, "part").select("p_partkey", D.uptime(s).alias("uptime"), D.day_time(F.timestamp_seconds(s + 1_700_000_000)).alias("at"))
+
+
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 9223372036854775807 ELSE 2 * p_partkey END AS total FROM part")
 def saturating_sums(spark, sf_dir):
     k = F.col("p_partkey").cast("bigint")
@@ -238,29 +249,54 @@ def report_json(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", k.alias("k"), (k > 50).alias("attention"))
 
 
-@query("SELECT event_type, CASE event_type WHEN 'error' THEN 'network' WHEN 'purchase' THEN 'storage' WHEN 'signup' THEN 'permission' ELSE 'other' END AS class, count(*) AS n FROM events GROUP BY ALL")
+_CAUSES = ("path", "manifest", "record", "encoding", "directory_not_empty", "permission_denied", "io", "none")
+_TEXTS = ("incoming record is causally stale", "requested path is absent", "requested path changed after snapshot", "disk /private/x is gone")
+_SAID = {
+    "path": "Invalid destination path; choose a portable relative path and retry.", "manifest": "Invalid file manifest; regenerate it from the source and retry.", "record": "Invalid causal record; refresh the snapshot and reconcile before retrying.",
+    "encoding": "Malformed protocol message; check peer compatibility before retrying.", "directory_not_empty": "Destination directory is not empty; synchronize or move its contents before retrying.",
+    "permission_denied": "Receiver permission denied; check destination and state permissions before retrying.", "io": "Receiver storage or transport failed; check storage, permissions, and connectivity before retrying.",
+}
+
+
+def _pick(values, by):
+    return F.element_at(F.array(*(F.lit(v) for v in values)), (by + 1).cast("int"))
+
+
+@query(f"""SELECT event_id, CASE {' '.join(f"WHEN cause = '{c}' THEN '{t}'" for c, t in _SAID.items())} WHEN said = 'incoming record is causally stale' THEN 'Incoming record is causally stale; refresh the snapshot and reconcile before retrying.'
+  WHEN said LIKE 'requested path%' THEN 'Requested path changed or is absent; refresh the snapshot before retrying.' ELSE 'Operation rejected; check the destination and receiver storage, then refresh the snapshot and retry.' END AS told,
+  CASE WHEN cls IN ('local_changed', 'busy', 'expired') THEN cls ELSE 'transfer_failed' END AS class
+ FROM (SELECT event_id, {list(_CAUSES)}[event_id % 8 + 1] AS cause, {list(_TEXTS)}[event_id % 4 + 1] AS said, ['local_changed', 'busy', 'expired', 'segfault', NULL][event_id % 5 + 1] AS cls FROM events)""")
 def error_classes(spark, sf_dir):
-    t = F.col("event_type")
-    kind = F.when(t == "error", "network").when(t == "purchase", "storage").when(t == "signup", "permission").otherwise("other")
-    return table(spark, sf_dir, "events").groupBy("event_type", kind.alias("class")).agg(F.count("*").alias("n"))
+    """What a peer is told of each failure, and the class a managed sync gives it."""
+    k = F.col("event_id")
+    told = D.public_message(_pick(_CAUSES, k % 8), _pick(_TEXTS, k % 4))
+    return table(spark, sf_dir, "events").select("event_id", told.alias("told"), D.failure_class(_pick(("local_changed", "busy", "expired", "segfault", None), k % 5)).alias("class"))
+
+
+_REPORT = "{'status': p_name, 'size': p_size, 'report': {'a': 1}, 'profile': {'b': 2}, 'records': [1], 'issues': [p_size], 'readonly': p_size % 2 = 0, 'peer': p_type, 'attempts': p_partkey, 'error': NULL}"
 
 
-@query("SELECT p_partkey, field, row_number() OVER (PARTITION BY p_partkey ORDER BY CASE field WHEN 'status' THEN 0 WHEN 'folder' THEN 1 ELSE 2 END, field) AS position FROM part CROSS JOIN (SELECT unnest(['bytes', 'status', 'files', 'folder']) AS field)")
+@query(f"""SELECT p_partkey, field, row_number() OVER (PARTITION BY p_partkey ORDER BY CASE WHEN field IN ('status', 'event') THEN 0 WHEN field IN ('size', 'attempts') THEN 1 WHEN field = 'readonly' THEN 2 WHEN field IN ('peer', 'error') THEN 3 WHEN field = 'report' THEN 4
+  WHEN field = 'profile' THEN 5 WHEN field = 'records' THEN 7 ELSE 6 END, field) AS position FROM (SELECT p_partkey, unnest(json_keys(to_json({_REPORT}))) AS field FROM part)""")
 def field_order(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array(*(F.lit(f) for f in ("bytes", "status", "files", "folder")))).alias("field"))
-    rank = F.when(F.col("field") == "status", 0).when(F.col("field") == "folder", 1).otherwise(2)
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy("p_partkey").orderBy(rank, "field")).cast("bigint"))
+    """The fields of a JSON report in the order they are shown, by the kind of their values."""
+    size = F.col("p_size")
+    fields = {"status": F.col("p_name"), "size": size, "report": F.struct(F.lit(1).alias("a")), "profile": F.struct(F.lit(2).alias("b")), "records": F.array(F.lit(1)), "issues": F.array(size), "readonly": size % 2 == 0, "peer": F.col("p_type"), "attempts": F.col("p_partkey"), "error": F.lit(None).cast("string")}
+    report = F.to_json(F.struct(*(v.alias(n) for n, v in fields.items())), {"ignoreNullFields": "false"})
+    return dashboard.ordered_fields(table(spark, sf_dir, "part").select("p_partkey", report.alias("report")), "report", ["p_partkey"])
 
 
-@query("SELECT l_suppkey, count(*) AS n, count(*) <= 100000 AS under_cap FROM lineitem GROUP BY ALL")
+@query("SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL")
 def record_caps(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), (F.count("*") <= 100000).alias("under_cap"))
+    """No supplier may have more than 100,000 lines; one that had would be an error, not a shorter answer."""
+    return dashboard.capped(table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n")), "n", 100_000, "too many lines")
 
 
-@query("SELECT DISTINCT folder, path FROM index_records WHERE folder IS NOT NULL AND path IS NOT NULL ORDER BY folder, path LIMIT 200")
+@query("SELECT folder, path, total FROM (SELECT folder, path, row_number() OVER (PARTITION BY folder ORDER BY path) AS n, count(*) OVER (PARTITION BY folder) AS total FROM (SELECT DISTINCT folder, path FROM index_records WHERE folder IS NOT NULL AND path IS NOT NULL)) WHERE n <= 200")
 def bounded_listing(spark, sf_dir):
+    """The first 200 paths of every folder with how many there are."""
     rows = table(spark, sf_dir, "index_records").where("folder IS NOT NULL AND path IS NOT NULL").select("folder", "path").distinct()
-    return rows.orderBy("folder", "path").limit(200)
+    return dashboard.first_of(rows, ["folder"], ["path"], 200).select("folder", "path", "total")
 
 
 _ROOTS = "roots AS (SELECT DISTINCT folder AS id, path FROM index_records WHERE kind = 'directory' AND folder IS NOT NULL AND path IS NOT NULL AND NOT coalesce(tombstone, false))"
