@@ -72,16 +72,27 @@ def outcome_issues(requested: DataFrame, present: DataFrame, absent: DataFrame,
     )
 
 
+#: Extents whose texts are digested together; a manifest's identity is the digest of these digests, so no list grows with the file.
+BLOCK = 4096
+
+
 def manifest_hash(extents: DataFrame) -> DataFrame:
-    """Identity of each file's manifest: its chunks in order."""
-    listed = F.array_sort(F.collect_list(F.struct("idx", "chunk_offset", "length", "hash")))
-    text = F.array_join(F.transform(listed, lambda c: F.concat_ws(":", c["chunk_offset"].cast("string"), c["length"].cast("string"), c["hash"])), ";")
-    return extents.groupBy("path").agg(F.sha2(F.concat(F.lit("manifest|"), text), 256).alias("manifest_hash"), F.sum("length").alias("size"))
+    """(path, manifest_hash, size, chunks): identity of each file's manifest, its size, and its chunks in order."""
+
+    def joined(at: str, text: Column, by: str) -> Column:
+        listed = F.array_sort(F.collect_list(F.struct(at, text.alias("t"))))
+        return F.array_join(F.transform(listed, lambda c: c["t"]), by)
+
+    chunk = F.concat_ws(":", F.col("chunk_offset").cast("string"), F.col("length").cast("string"), "hash")
+    blocks = extents.groupBy("path", F.floor(F.col("idx") / BLOCK).alias("block")).agg(F.sha2(joined("idx", chunk, ";"), 256).alias("_d"), F.sum("length").alias("_s"), F.count("*").alias("_n"))
+    whole = blocks.groupBy("path").agg(joined("block", F.col("_d"), ";").alias("_t"), F.sum("_s").alias("size"), F.sum("_n").alias("chunks"))
+    return whole.select("path", F.sha2(F.concat_ws("|", F.lit("manifest"), F.col("size").cast("string"), F.col("chunks").cast("string"), "_t"), 256).alias("manifest_hash"), "size", "chunks")
 
 
 def reassembled(extents: DataFrame, store: DataFrame) -> DataFrame:
     """Each file from its chunks: (path, content, complete). store: (hash, content binary); a chunk that isn't there leaves the file incomplete."""
     joined = extents.join(store.select("hash", "content"), "hash", "left")
-    parts = F.array_sort(F.collect_list(F.struct("idx", "content")))
-    whole = F.aggregate(parts, F.lit(b"").cast("binary"), lambda a, c: F.concat(a, F.coalesce(c["content"], F.lit(b"").cast("binary"))))
+    # each content is copied once, as hex text; adding to a growing content would copy it once for every chunk
+    parts = F.array_sort(F.collect_list(F.struct("idx", F.hex("content").alias("t"))))
+    whole = F.unhex(F.array_join(F.transform(parts, lambda c: F.coalesce(c["t"], F.lit(""))), ""))
     return joined.groupBy("path").agg(whole.alias("content"), (F.count("content") == F.count("*")).alias("complete"))

@@ -11,7 +11,7 @@ from ..functions.text import digest_bytes
 from ..operators import delta, swarm
 from ..runtime import table
 from .registry import Registry
-from .relations import EXTENTS, STORED, extents, sql_key, stored
+from .relations import EXTENTS, MANIFESTS, STORED, extents, sql_key, stored
 
 query = Registry()
 HIGH = 8 << 20
@@ -102,7 +102,7 @@ def chunk_outcome_violations(spark, sf_dir):
     return delta.outcome_issues(asked, present, absent, ["plan_id"])
 
 
-@query(f"WITH {EXTENTS} SELECT path, sha256('manifest|' || string_agg(chunk_offset || ':' || length || ':' || hash, ';' ORDER BY idx)) AS manifest_hash, CAST(sum(length) AS BIGINT) AS size, sha256('operation|' || path || '|' || sha256('manifest|' || string_agg(chunk_offset || ':' || length || ':' || hash, ';' ORDER BY idx))) AS operation_id FROM ext GROUP BY path")
+@query(f"WITH {EXTENTS}, {MANIFESTS} SELECT path, manifest_hash, size, chunks, sha256('operation|' || path || '|' || manifest_hash) AS operation_id FROM mani")
 def manifest_hashes(spark, sf_dir):
     return delta.manifest_hash(extents(spark, sf_dir)).withColumn("operation_id", R.digest("operation", F.col("path"), F.col("manifest_hash")))
 

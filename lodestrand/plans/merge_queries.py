@@ -23,15 +23,15 @@ def causal_merge_outcomes(spark, sf_dir):
     return M.pair_outcomes(pairs(spark, sf_dir)).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-@query(
-    _CON
-    + """SELECT pass_id, path, CASE WHEN outcome IN ('left_only', 'after', 'equal', 'concurrent_same') THEN lk ELSE rk END AS kind, CASE WHEN outcome IN ('left_only', 'after', 'equal', 'concurrent_same') THEN ls ELSE rs END AS size,
+_RECORDS = """SELECT pass_id, path, CASE WHEN outcome IN ('left_only', 'after', 'equal', 'concurrent_same') THEN lk ELSE rk END AS kind, CASE WHEN outcome IN ('left_only', 'after', 'equal', 'concurrent_same') THEN ls ELSE rs END AS size,
   CASE WHEN outcome IN ('left_only', 'after', 'equal', 'concurrent_same') THEN lh ELSE rh END AS content_hash, CASE WHEN outcome IN ('left_only', 'after', 'equal', 'concurrent_same') THEN lro ELSE rro END AS readonly,
   CASE WHEN outcome IN ('left_only', 'after', 'equal', 'concurrent_same') THEN lt ELSE rt END AS tombstone,
   CASE WHEN outcome = 'concurrent_same' THEN both_text WHEN outcome IN ('left_only', 'after', 'equal') THEN lv ELSE rv END AS vtext, outcome FROM oc WHERE outcome NOT IN ('equal_clock_divergence', 'concurrent_edit')
 UNION ALL SELECT pass_id, path, wk, ws, wh, wro, wt, vtext, outcome FROM e
 UNION ALL SELECT pass_id, conflict_path, xk, xs, xh, xro, false, vtext, 'conflict_copy' FROM e WHERE kept"""
-)
+
+
+@query(_CON + _RECORDS)
 def causal_merge_records(spark, sf_dir):
     records, _ = M.merge_pairs(pairs(spark, sf_dir), KEYS)
     return records.select("pass_id", "path", "kind", "size", "content_hash", "readonly", "tombstone", "vtext", "outcome")
@@ -107,13 +107,6 @@ def action_groups(spark, sf_dir):
     return M.pair_actions(pairs(spark, sf_dir), KEYS).groupBy("pass_id", "tombstone", "kind").agg(F.count("*").alias("n"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS left_over")
-def replay_is_empty(spark, sf_dir):
-    """Planning again from the reached state gives nothing to do."""
-    there = remote(spark, sf_dir)
-    return M.actions_to_reach(there, there, KEYS).agg(F.count("*").alias("left_over"))
-
-
 _REQ = _ACT + """, req AS (SELECT DISTINCT pass_id, content_hash FROM act WHERE action = 'materialize' AND kind = 'file' AND content_hash IS NOT NULL) """
 
 

@@ -140,6 +140,11 @@ EXTENTS = f"""ext AS (SELECT path, idx, chunk_offset, length, hash FROM (SELECT
     FROM extents WHERE path IS NOT NULL AND idx IS NOT NULL AND {sql_key('hash')} IS NOT NULL) WHERE k = 1)"""
 
 
+#: Needs EXTENTS.
+MANIFESTS = """blk AS (SELECT path, idx // 4096 AS block, sha256(string_agg(chunk_offset || ':' || length || ':' || hash, ';' ORDER BY idx)) AS d, sum(length) AS s, count(*) AS n FROM ext GROUP BY ALL),
+  mani AS (SELECT path, CAST(sum(s) AS BIGINT) AS size, CAST(sum(n) AS BIGINT) AS chunks, sha256('manifest|' || CAST(sum(s) AS BIGINT) || '|' || CAST(sum(n) AS BIGINT) || '|' || string_agg(d, ';' ORDER BY block)) AS manifest_hash FROM blk GROUP BY path)"""
+
+
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct inventory digests with their length."""
     rows = table(spark, sf_dir, "inventory").select(F.lower(F.hex(digest_bytes(F.col("hash")))).alias("hash"), "length")
