@@ -15,6 +15,8 @@ from .relations import EXTENTS, MANIFESTS, STORED, extents, sql_key, stored
 
 query = Registry()
 HIGH = 8 << 20
+#: Chunk sizes for texts of a few thousand bytes.
+SMALL = (64, 256, 1024)
 
 _AT = f"WITH {EXTENTS}, placed AS (SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY path ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS expected FROM ext)"
 
@@ -147,7 +149,7 @@ def materialise_check(spark, sf_dir):
 @query("SELECT doc_id AS path, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, true AS contiguous, true AS within_bounds FROM documents WHERE text <> ''")
 def cdc_chunk_invariants(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("path"), F.col("text").cast("binary").alias("content"))
-    chunks = content_chunks(docs)
+    chunks = content_chunks(docs, profile=SMALL)
     at = delta.contiguity(chunks)
     last = at.groupBy("path").agg(F.max("idx").alias("_last"))
     joined = at.join(last, "path")
@@ -159,7 +161,7 @@ def cdc_chunk_invariants(spark, sf_dir):
 def content_chunk_sharing(spark, sf_dir):
     """How many chunks, and how many different ones, the texts have when they are cut by content."""
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("path"), F.col("text").cast("binary").alias("content"))
-    per_hash = content_chunks(docs).groupBy("hash").agg(F.count("*").alias("n"))
+    per_hash = content_chunks(docs, profile=SMALL).groupBy("hash").agg(F.count("*").alias("n"))
     return per_hash.agg(F.sum("n").alias("chunks"), F.count("*").alias("different"))
 
 

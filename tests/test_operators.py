@@ -6,7 +6,7 @@ import pytest
 from lodestrand.functions import display as D
 from lodestrand.functions import paths as P
 from lodestrand.functions import records as R
-from lodestrand.functions.pyfuncs import collision_key, content_chunks, cut_points, seeded_bytes
+from lodestrand.functions.pyfuncs import collision_key, content_chunks, cut_points, seeded_bytes, stream_chunks
 from lodestrand.operators import delta, merge, merkle, scan, swarm
 from pyspark.sql import functions as F
 
@@ -118,7 +118,27 @@ def test_merkle_roots_and_differences(spark):
     diff = merkle.differing(tree, merkle.nodes(other, ["g"], F.col("h")), ["g"])
     assert sorted(r["path"] for r in diff.collect()) == ["d1/s0/f9", "d3/s1/f7"]
     assert merkle.differing(tree, shuffled, ["g"]).count() == 0
-    assert merkle.summary_issues(tree, ["g"]).count() == 0
+    kids = merkle.children(tree, ["g"]).withColumnRenamed("parent", "prefix")
+    from pyspark.sql import Window
+
+    kids = kids.withColumn("ordinal", F.row_number().over(Window.partitionBy("g", "prefix").orderBy("name")) - 1)
+    told = tree.select("g", "prefix", F.when(F.col("own_hash").isNotNull(), F.col("prefix")).alias("record_path"), "record_count")
+    assert merkle.summary_issues(told, kids, ["g"]).count() == 0
+    assert {r["issue"] for r in merkle.summary_issues(told.withColumn("record_count", F.col("record_count") + 1), kids, ["g"]).collect()} == {"count"}
+    assert "order" in {r["issue"] for r in merkle.summary_issues(told, kids.withColumn("ordinal", -F.col("ordinal")), ["g"]).collect()}
+    parts = merkle.reconstruct(df, other, tree, merkle.nodes(other, ["g"], F.col("h")), ["g"])
+    assert sorted(map(tuple, parts.select(*df.columns).collect())) == sorted(map(tuple, other.collect()))
+    assert 0 < parts.where("origin = 'fetched'").count() < 20
+    want = merkle.roots(other, ["g"], F.col("h"))
+    assert merkle.checked_snapshot(parts, ["g"], F.col("h"), want).count() == 1
+    with pytest.raises(Exception, match="expected"):
+        merkle.checked_snapshot(df, ["g"], F.col("h"), want).collect()
+
+
+def test_a_directory_of_a_million_entries(spark):
+    rows = spark.range(1_000_000).select(F.lit(1).alias("g"), F.concat(F.lit("d/f"), F.col("id").cast("string")).alias("path"), F.col("id").cast("string").alias("h"))
+    counts = {r["prefix"]: r["record_count"] for r in merkle.nodes(rows, ["g"], F.col("h")).where("depth < 2").collect()}
+    assert counts == {"": 1_000_000, "d": 1_000_000}
 
 
 def test_content_chunks(spark):
@@ -129,12 +149,46 @@ def test_content_chunks(spark):
     assert max(sizes) <= 1024 and min(sizes[:-1]) >= 64
     moved = data[:500] + b"inserted bytes" + data[500:]
     df = spark.createDataFrame([("a", data), ("b", moved), ("e", b""), ("n", None)], "path string, content binary")
-    chunks = content_chunks(df)
+    chunks = content_chunks(df, profile=(64, 256, 1024))
     a, b = ({r["hash"] for r in chunks.where(F.col("path") == p).collect()} for p in "ab")
     assert len(a & b) > 0.8 * len(a)
     assert {r["path"] for r in chunks.collect()} == {"a", "b"}
 
 
+def _plain_cuts(data, low, mean, high):
+    """The rolling hash byte by byte."""
+    import hashlib
+
+    gear = [int.from_bytes(hashlib.sha256(bytes([b])).digest()[:8], "little") for b in range(256)]
+    bits = max(1, mean.bit_length() - 1)
+    hard, easy = ((1 << (bits + 1)) - 1) << 16, ((1 << max(1, bits - 1)) - 1) << 16
+    ends, start = [], 0
+    while len(data) - start > low:
+        end = min(start + high, len(data))
+        rolled = 0
+        for i in range(max(0, start + low - 63), end):
+            rolled = ((rolled << 1) + gear[data[i]]) % (1 << 64)
+            if i >= start + low and not rolled & (hard if i < start + mean else easy):
+                end = i + 1
+                break
+        ends.append(end)
+        start = end
+    return [*ends, len(data)] if start < len(data) else ends
+
+
+def test_cuts_are_the_rolling_hashs(spark):
+    import io
+
+    files = {f"f{n}": seeded_bytes(n, "cut", size) for n, size in enumerate((0, 1, 63, 64, 65, 300, 1024, 5000, 40_000))}
+    want = {p: _plain_cuts(d, 64, 256, 1024) if d else [] for p, d in files.items()}
+    rows = content_chunks(spark.createDataFrame(list(files.items()), "path string, content binary").coalesce(1), profile=(64, 256, 1024)).orderBy("path", "idx").collect()
+    got = {p: [r["chunk_offset"] + r["length"] for r in rows if r["path"] == p] for p in files}
+    assert got == want
+    for p, d in files.items():
+        streamed = list(stream_chunks(io.BytesIO(d).read, (64, 256, 1024)))
+        assert [o + n for o, n, _ in streamed] == want[p] and [h for *_, h in streamed] == [r["hash"] for r in rows if r["path"] == p]
+
+
 def test_delta_counts_extents_and_hashes(spark):
     ext = spark.createDataFrame([("f", 0, 0, 10, "a"), ("f", 1, 10, 5, "b"), ("f", 2, 15, 10, "a"), ("f", 3, 25, 7, "c"), ("f", 4, 32, 7, "c")], "path string, idx int, chunk_offset long, length long, hash string")
     have = spark.createDataFrame([("a",)], "hash string")
@@ -224,9 +278,9 @@ def test_retries_and_counters(spark):
     events = spark.createDataFrame([(1, i, f) for i, f in enumerate([True, True, False, True, True, True])], "k int, t int, bad boolean")
     got = [(r["t"], r["attempts"], r["delay_ms"]) for r in scan.failure_runs(events, "k", ["t"], F.col("bad")).orderBy("t").collect()]
     assert got == [(0, 1, 500), (1, 2, 1000), (3, 1, 500), (4, 2, 1000), (5, 3, 2000)]
-    ch = spark.createDataFrame([("f", p, c) for p, c in (("b", "deleted"), ("zz", "created"), ("aa", "modified"), ("a", "deleted"))], "folder string, path string, change string")
-    order = [r["path"] for r in scan.counter_assignment(ch, ["folder"], F.lit(10)).orderBy("counter").collect()]
-    assert order == ["aa", "zz", "a", "b"]
+    ch = spark.createDataFrame([("f", p, c, to, v) for p, c, to, v in (("b", "deleted", None, 3), ("zz", "created", None, 0), ("aa", "modified", None, 40), ("a", "deleted", None, 1), ("old", "renamed", "bb", 7), ("q", "unchanged", None, 99))], "folder string, path string, change string, to_path string, version long")
+    got = [(r["path"], r["counter"]) for r in scan.counter_assignment(ch, ["folder"], F.lit(10)).orderBy("counter").collect()]
+    assert got == [("aa", 41), ("old", 42), ("zz", 43), ("a", 44), ("b", 45)]
 
 
 def test_collision_keys(spark):
@@ -251,18 +305,87 @@ def test_numbers_over_many_files(spark):
     assert number_rows(df.limit(0), ["g"], ["v"], "n").count() == 0
 
 
+SCAN = "folder string, snap_no int, path string, kind string, id_namespace long, id_object long, size long, modified_ns decimal(38,0), readonly boolean, content_hash string, tombstone boolean, version long"
+STEP = ["folder", "snap_no", "path"]
+
+
+def scanned(spark, rows):
+    """rows: (path, object, content, tombstone, version)"""
+    from decimal import Decimal
+
+    return spark.createDataFrame([("f", 2, p, "file", 1 if o else None, o, 1, Decimal(5), False, h, t, v) for p, o, h, t, v in rows], SCAN)
+
+
 def test_deletions_keep_what_could_not_be_read(spark):
-    schema = "folder string, snap_no int, path string, tombstone boolean"
-    before = spark.createDataFrame([("f", 2, p, False) for p in ("a", "b", "dir/c", "dir/sub/d", "dir-old", "moved")] + [("f", 2, "dead", True)], schema)
-    after = spark.createDataFrame([("f", 2, "a", False), ("f", 2, "b", True)], schema)
-    keys = ["folder", "snap_no", "path"]
-    moved = before.where("path = 'moved'").select(*keys)
+    before = scanned(spark, [(p, None, "h", False, 0) for p in ("a", "b", "dir/c", "dir/sub/d", "dir-old")] + [("moved", 7, "h", False, 0), ("dir/m", 8, "h", False, 0), ("dead", None, "h", True, 0)])
+    after = scanned(spark, [("a", None, "h", False, 0), ("b", None, "h", True, 0), ("new", 7, "h", False, 0), ("m", 8, "h", False, 0)])
     unread = spark.createDataFrame([("f", 2, "dir")], "folder string, snap_no int, prefix string")
-    assert sorted(r["path"] for r in scan.deletions(before, after, keys, moved, unread).collect()) == ["b", "dir-old"]
+    changes = scan.scan_changes(before, after, STEP, unread)
+    assert sorted(r["path"] for r in scan.deletions(changes, STEP).collect()) == ["b", "dir-old"]
+    assert sorted(tuple(r) for r in changes.where("change = 'renamed'").select("path", "to_path").collect()) == [("moved", "new")]
+    assert sorted(r["path"] for r in changes.where("change = 'preserved'").collect()) == ["dir/c", "dir/m", "dir/sub/d"]
+
+
+def _plain_scan(before, after, base):
+    """The rule as loops over two dictionaries path -> (object, content, tombstone, version): changes with counters, and the next index."""
+    now = {p: v for p, v in after.items() if not v[2]}
+    alike = lambda a, b: a[:2] == b[:2]
+    old, new = {}, {}
+    for p, v in before.items():
+        if not v[2] and p not in now and v[0]:
+            old.setdefault(v[0], []).append(p)
+    for p, v in now.items():
+        if not (p in before and not before[p][2]) and v[0]:
+            new.setdefault(v[0], []).append(p)
+    moved = {new[o][0]: ps[0] for o, ps in old.items() if len(ps) == 1 and len(new.get(o, ())) == 1 and alike(before[ps[0]], now[new[o][0]])}
+    counter, changes, index = base, [], {p: (v[1], v[2], v[3]) for p, v in before.items()}
+    for p in sorted(now):
+        if p in before and not before[p][2] and alike(before[p], now[p]):
+            continue
+        source = moved.get(p, p)
+        counter = max(counter, before[source][3] if source in before else 0) + 1
+        if p in moved:
+            changes.append((source, "renamed", p, counter))
+            index[source] = (before[source][1], True, counter)
+        else:
+            changes.append((p, "modified" if p in before and not before[p][2] else "created", None, counter))
+        index[p] = (now[p][1], False, counter)
+    for p in sorted(before):
+        if not before[p][2] and p not in now and p not in moved.values():
+            counter = max(counter, before[p][3]) + 1
+            changes.append((p, "deleted", None, counter))
+            index[p] = (before[p][1], True, counter)
+    return changes, index
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_a_scan_against_loops(spark, seed):
+    rng = random.Random(seed)
+    row = lambda: (rng.choice([None, *range(1, 25)]), rng.choice("abc"), rng.random() < 0.2, rng.randrange(40))
+    before = {f"p{i:02d}": row() for i in range(40) if rng.random() < 0.7}
+    after = {p: v if rng.random() < 0.4 else row() for p, v in before.items() if rng.random() < 0.7}
+    for p, v in before.items():
+        if p not in after and rng.random() < 0.6:
+            after["m" + p] = (*v[:2], False, 0)
+    changes, index = _plain_scan(before, after, 11)
+    frames = [scanned(spark, [(p, *v) for p, v in d.items()]) for d in (before, after)]
+    numbered = scan.counter_assignment(scan.scan_changes(*frames, STEP), STEP[:2], F.lit(11))
+    assert sorted(map(tuple, numbered.select("path", "change", "to_path", "counter").collect()), key=lambda r: r[3]) == changes
+    got = {r["path"]: (r["content_hash"], r["tombstone"], r["version"]) for r in scan.next_records(*frames, numbered, STEP).collect()}
+    assert got == index
+
+
+def test_a_scan_that_is_not_safe_raises(spark):
+    none = spark.createDataFrame([], "path string")
+    one = spark.createDataFrame([("a",)], "path string")
+    assert scan.scan_gate(none, none, none, "local").first()["safe"]
+    for three in ((one, none, none), (none, one, none), (none, none, one)):
+        with pytest.raises(Exception, match="local scan"):
+            scan.scan_gate(*three, "local").collect()
 
 
 def test_namespace_issues(spark):
-    rows = snapshot(spark, [("a", "file", "x", False, []), ("a/b", "file", "x", False, []), ("Dir/x", "file", "x", False, []), ("dir/y", "file", "x", False, []), ("s", "symlink", None, False, []), ("S", "symlink", None, True, [])])
+    rows = snapshot(spark, [("a", "file", "x", False, []), ("a/b", "file", "x", False, []), ("Dir/x", "file", "x", False, []), ("dir/y", "file", "x", False, []), ("s", "symlink", None, False, []), ("S", "symlink", None, True, []), ("gone", "directory", None, True, []), ("gone/x", "file", "x", False, [])])
     got = sorted((r["path"], r["issue"]) for r in merge.namespace_issues(rows, KEYS, collision_key("path")).collect())
-    assert got == [("Dir", "collision"), ("a/b", "ancestor"), ("dir", "collision"), ("s", "kind")]
-    assert sorted(r["path"] for r in merge.missing_ancestors(rows, KEYS).collect()) == ["Dir", "a", "dir"]
+    assert got == [("Dir", "collision"), ("a/b", "ancestor"), ("dir", "collision"), ("gone/x", "ancestor"), ("s", "kind")]
+    assert sorted(r["path"] for r in merge.missing_ancestors(rows, KEYS).collect()) == ["Dir", "a", "dir", "gone"]
