@@ -213,3 +213,10 @@ def report_title(command: Column, status: Column, event: Column, attention: Colu
         .when(command == "fault-test", "Fault test passed")
         .otherwise("Result")
     )
+
+
+def needs_attention(report: Column) -> Column:
+    """Whether a scan's JSON report names issues, colliding paths or queued retries."""
+    r = F.from_json(report, "issues array<string>, collisions array<string>, retries_queued bigint")
+    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    return some(r["issues"]) | some(r["collisions"]) | (F.coalesce(r["retries_queued"], F.lit(0)) > 0)

@@ -33,9 +33,9 @@ def merged(a: Column, b: Column) -> Column:
     return F.map_zip_with(a, b, lambda _, x, y: F.greatest(F.coalesce(x, F.lit(0)), F.coalesce(y, F.lit(0))))
 
 
-def observed(v: Column, replica: str, n: Column) -> Column:
+def observed(v: Column, replica: Column | str, n: Column) -> Column:
     """The vector with the replica's counter raised to n."""
-    one = F.create_map(F.lit(replica), n.cast("bigint"))
+    one = F.create_map(F.lit(replica) if isinstance(replica, str) else replica, n.cast("bigint"))
     return merged(v, one)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import paths as P
 from ..functions.display import field_rank, json_kind
 
 
@@ -67,3 +68,27 @@ def compare_medians(samples: DataFrame, group: list[str], phase: str, value: str
     is_ = lambda p: F.when(F.col(phase) == p, F.col(value))
     stats = samples.groupBy(*group).agg(*(a.alias(f"{p}_{n}") for p in ("before", "after") for n, a in (("median", F.median(is_(p))), ("min", F.min(is_(p))), ("max", F.max(is_(p))))))
     return stats.withColumn("percent", F.round((F.col("after_median") / F.nullif("before_median", F.lit(0.0)) - 1) * 100, 3))
+
+
+def doctor(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, check_name, status, action, healthy): the named checks of a device, what to do where one fails, and whether all pass.
+
+    facts: (*keys, root_writable, state_writable, root, state, identity, identity_ok, peer_ok, direct_only, addresses); peer_ok null: no peer given.
+    """
+    apart = ~P.overlap(F.col("root"), F.col("state")) & ~P.under(F.col("identity"), F.col("root")) & ~P.under(F.col("identity"), F.col("state"))
+    checks = {
+        "root_writable": (F.col("root_writable"), "Grant write access or select a writable root."), "state_writable": (F.col("state_writable"), "Grant write access or select a writable state folder."),
+        "path_separation": (apart, "Place state and identity outside the root, with the identity outside the state."), "identity": (F.col("identity_ok"), "Create an identity, then retry."),
+        "peer": (F.coalesce("peer_ok", F.lit(True)), "Copy the peer's endpoint exactly."), "direct_addresses": (~F.col("direct_only") | (F.col("addresses") > 0), "Add at least one address, or allow others than direct ones."),
+    }
+    rows = F.array(*(F.struct(F.lit(n).alias("check_name"), F.when(c, "pass").otherwise("fail").alias("status"), F.when(~c, action).alias("action")) for n, (c, action) in checks.items()))
+    healthy = F.lit(True)
+    for c, _ in checks.values():
+        healthy = healthy & c
+    return facts.select(*keys, F.explode(rows).alias("c"), healthy.alias("healthy")).select(*keys, "c.*", "healthy")
+
+
+def keyed_union_conflicts(rows: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
+    """(key, n, conflicting) of keys that stand more than once: a union by key holds them only where all rows carry the same values."""
+    value = F.struct(*fields)
+    return rows.groupBy(key).agg(F.count("*").alias("n"), (~F.min(value).eqNullSafe(F.max(value))).alias("conflicting")).where("n > 1")

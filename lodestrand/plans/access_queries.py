@@ -43,10 +43,13 @@ def allowed_peers(spark, sf_dir):
     return _requests(spark, sf_dir).join(allowed, "endpoint", "left_semi").select("request")
 
 
-@query("SELECT c_custkey, CASE WHEN v <> 3 THEN 'version' WHEN name = '' OR octet_length(encode(name)) > 255 THEN 'name' WHEN e IS NOT NULL AND (e <= 500 OR e <= i) THEN 'expired' END AS issue FROM (SELECT c_custkey, CASE WHEN c_custkey % 17 = 0 THEN 2 ELSE 3 END AS v, CASE WHEN c_custkey % 19 = 0 THEN '' ELSE c_name END AS name, c_custkey % 900 AS i, CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 1300 END AS e FROM customer)")
+@query("""SELECT c_custkey, CASE WHEN v <> 3 THEN 'version' WHEN name = '' OR octet_length(encode(name)) > 255 THEN 'name' WHEN c_custkey % 23 = 0 OR c_custkey % 20 > 16 THEN 'address' WHEN c_custkey % 29 = 0 THEN 'size' WHEN e IS NOT NULL AND (e <= 500 OR e <= i) THEN 'expired' END AS issue
+ FROM (SELECT c_custkey, CASE WHEN c_custkey % 17 = 0 THEN 2 ELSE 3 END AS v, CASE WHEN c_custkey % 19 = 0 THEN '' ELSE c_name END AS name, c_custkey % 900 AS i, CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 1300 END AS e FROM customer)""")
 def ticket_validity(spark, sf_dir):
     k = F.col("c_custkey")
-    issue = access.ticket_issue(F.when(k % 17 == 0, 2).otherwise(3), F.when(k % 19 == 0, "").otherwise(F.col("c_name")), k % 900, F.when(k % 4 > 0, k % 1300), F.lit(500))
+    issue = access.ticket_issue(
+        F.when(k % 17 == 0, 2).otherwise(3), F.when(k % 19 == 0, "").otherwise(F.col("c_name")), k % 900, F.when(k % 4 > 0, k % 1300), F.lit(500), k, k + F.when(k % 23 == 0, 1).otherwise(0), k % 20, F.when(k % 29 == 0, 9000).otherwise(100)
+    )
     return table(spark, sf_dir, "customer").select("c_custkey", issue.alias("issue"))
 
 
@@ -78,11 +81,6 @@ def replica_claims(spark, sf_dir):
     return access.claim_conflicts(claims)
 
 
-@query("SELECT c_nationkey AS share, count(*) AS members, count(*) <= 256 AS under_cap, count(DISTINCT c_mktsegment) AS relationships FROM customer GROUP BY ALL")
-def share_guards(spark, sf_dir):
-    return table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("share")).agg(F.count("*").alias("members"), (F.count("*") <= 256).alias("under_cap"), F.count_distinct("c_mktsegment").alias("relationships"))
-
-
 @query("SELECT o_custkey AS relationship, arg_max(o_orderpriority, o_orderkey) AS permission, count(DISTINCT o_orderstatus) > 1 AS changed_immutable FROM orders GROUP BY ALL")
 def relationship_upsert(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("relationship")).agg(F.max_by("o_orderpriority", "o_orderkey").alias("permission"), (F.count_distinct("o_orderstatus") > 1).alias("changed_immutable"))
@@ -97,12 +95,17 @@ def version_ceilings(spark, sf_dir):
     return access.ceilings(_entries(spark, sf_dir), ("pass_id",))
 
 
-@query(f"WITH {SNAP}, lim AS (SELECT pass_id, replica, max(n) AS ceiling FROM ent WHERE side = 'local' GROUP BY ALL), me AS (SELECT min(replica) AS own, max(replica) AS res FROM ent) SELECT e.pass_id, e.path, e.replica, e.n AS counter, CASE WHEN ceiling IS NULL THEN 'unknown_replica' ELSE 'beyond_ceiling' END AS issue FROM ent e LEFT JOIN lim ON lim.pass_id = e.pass_id AND lim.replica = e.replica CROSS JOIN me WHERE e.side = 'remote' AND (ceiling IS NULL OR (e.replica <> own AND e.n > ceiling + CASE WHEN e.replica = res THEN 1 ELSE 0 END))")
+@query(f"""WITH {SNAP}, lim AS (SELECT pass_id, replica, max(n) AS ceiling FROM ent WHERE side = 'local' AND path < 'm' GROUP BY ALL), kn AS (SELECT DISTINCT replica FROM ent WHERE side = 'local' AND pass_id % 2 = 0), me AS (SELECT min(replica) AS own, max(replica) AS res FROM ent)
+ SELECT pass_id, path, replica, counter, issue FROM (SELECT e.pass_id, e.path, e.replica, e.n AS counter, CASE WHEN e.replica NOT IN (SELECT replica FROM kn) THEN 'unknown_replica'
+   WHEN e.replica <> (SELECT own FROM me) AND e.n > coalesce(ceiling, 0) + CASE WHEN e.replica = (SELECT res FROM me) THEN 1 ELSE 0 END THEN 'beyond_ceiling' END AS issue
+   FROM ent e LEFT JOIN lim ON lim.pass_id = e.pass_id AND lim.replica = e.replica WHERE e.side = 'remote') WHERE issue IS NOT NULL""")
 def ceiling_violations(spark, sf_dir):
+    """Known are the replicas that passes of even numbers have on their local side, seen is what local paths before m hold; the least replica is the member's own, the greatest the resolver."""
     entries = _entries(spark, sf_dir)
-    own, resolver = entries.agg(F.min("replica"), F.max("replica")).first()
-    limit = access.ceilings(entries.where("side = 'local'"), ("pass_id",))
-    issues = access.ceiling_issues(entries.where("side = 'remote'"), limit, F.lit(own), F.lit(resolver))
+    local = entries.where("side = 'local'")
+    known, seen = local.where("pass_id % 2 = 0").select("replica"), local.where("path < 'm'")
+    own, resolver = entries.agg(F.min("replica")).scalar(), entries.agg(F.max("replica")).scalar()
+    issues = access.ceiling_issues(entries.where("side = 'remote'"), known, access.ceilings(seen, ("pass_id",)), own, resolver)
     return issues.select("pass_id", "path", "replica", "counter", "issue")
 
 
@@ -129,7 +132,7 @@ def audit_by_peer(spark, sf_dir):
 def live_sessions(spark, sf_dir):
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     events = table(spark, sf_dir, "events")
-    now = (events.agg(F.max(ms)).first()[0] or 0) - 3600000
+    now = events.agg(F.max(ms) - 3600000).scalar()
     return events.groupBy(F.col("user_id").alias("session")).agg((F.max(ms) + 86400000).alias("expires_ms")).where(F.col("expires_ms") > now)
 
 
@@ -163,22 +166,6 @@ def illegal_transitions(spark, sf_dir):
     return illegal_steps(_journal(spark, sf_dir)).select(F.col("id").alias("journal"), "seq", "from_state", "to_state")
 
 
-@query(f"SELECT journal, CASE WHEN state = 'prepared' THEN 'abort' WHEN state = 'materialized' AND journal % 2 = 0 THEN 'finish' WHEN state = 'materialized' THEN 'roll_back' ELSE 'nothing' END AS decision FROM (SELECT o_custkey AS journal, arg_max({_STATES}, o_orderkey) AS state FROM orders GROUP BY ALL)")
-def recovery_decisions(spark, sf_dir):
-    """Taking even journals' targets as being in the index already."""
-    from ..streaming.journal import latest_states, recovery
-
-    last = latest_states(_journal(spark, sf_dir))
-    return last.select(F.col("id").alias("journal"), recovery(F.col("state"), F.col("id") % 2 == 0).alias("decision"))
-
-
-@query("SELECT o_custkey AS journal, kind, o_custkey || '/' || kind AS location FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F') CROSS JOIN (SELECT unnest(['artifact', 'rollback']) AS kind) WHERE kind = 'artifact' OR o_custkey % 4 = 0")
-def preserved_artifacts(spark, sf_dir):
-    done = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("journal")).distinct()
-    kinds = done.select("journal", F.explode(F.array(F.lit("artifact"), F.lit("rollback"))).alias("kind"))
-    return kinds.where((F.col("kind") == "artifact") | (F.col("journal") % 4 == 0)).withColumn("location", F.concat_ws("/", F.col("journal").cast("string"), "kind"))
-
-
 @query("SELECT c_custkey, sha256('root|' || c_name) AS root_binding FROM customer")
 def root_bindings(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", R.digest("root", F.col("c_name")).alias("root_binding"))

@@ -240,11 +240,6 @@ def source_tags(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", R.digest("source", k, F.col("s_nationkey")).alias("source_id"), D.page_timeout_s(k * 1000).alias("timeout_s"))
 
 
-@query("SELECT s_nationkey, count(*) AS sources, count(*) BETWEEN 1 AND 8 AS count_ok, count(*) = count(DISTINCT s_name) AS distinct_ok FROM supplier GROUP BY ALL")
-def source_guards(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("sources"), F.count("*").between(1, 8).alias("count_ok"), (F.count("*") == F.count_distinct("s_name")).alias("distinct_ok"))
-
-
 @query("SELECT s_suppkey, CASE WHEN shared AND least(a, b) < w + v + r THEN 'shared' WHEN NOT shared AND a < w + r THEN 'state' WHEN NOT shared AND b < v + r THEN 'destination' END AS issue FROM (SELECT s_suppkey, s_suppkey % 2 = 0 AS shared, s_suppkey * 131 % 1000 AS a, s_suppkey * 71 % 1000 AS b, s_suppkey * 17 % 400 AS w, s_suppkey * 29 % 400 AS v, 50 AS r FROM supplier)")
 def space_budget(spark, sf_dir):
     k = F.col("s_suppkey")

@@ -155,10 +155,10 @@ def counter_poisoning(spark, sf_dir):
     """Taking the least replica as this one: remote rows that claim more of its counter than the local side has given out."""
     both = sides(spark, sf_dir)
     entries = both.select("pass_id", "side", F.explode("vv").alias("replica", "n"))
-    own = entries.agg(F.min("replica").alias("own")).first()["own"] or ""
+    own = entries.agg(F.min("replica")).scalar()
     ceiling = entries.where((F.col("side") == "local") & (F.col("replica") == own)).groupBy("pass_id").agg(F.max("n").alias("ceiling"))
     incoming = both.where("side = 'remote'").join(ceiling, "pass_id", "left")
-    return M.poisoned(incoming, KEYS, F.lit(own), F.coalesce(F.col("ceiling"), F.lit(0)))
+    return M.poisoned(incoming, KEYS, own, F.coalesce(F.col("ceiling"), F.lit(0)))
 
 
 _PREFIX = "parts AS (SELECT pass_id, path, kind, string_split(path, '/') AS p FROM r WHERE NOT tombstone), pre AS (SELECT pass_id, path, array_to_string(p[1:i], '/') AS above, i < len(p) AS proper FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM parts))"
@@ -217,11 +217,11 @@ def adoption(spark, sf_dir):
     """A directly pushed file taken into the index: this replica's next counter, seen in the adopted row's vector."""
     both = sides(spark, sf_dir)
     entries = both.select("pass_id", "side", F.explode("vv").alias("replica", "n"))
-    own = entries.agg(F.min("replica").alias("own")).first()["own"] or ""
+    own = entries.agg(F.min("replica")).scalar()
     ceiling = entries.where((F.col("side") == "local") & (F.col("replica") == own)).groupBy("pass_id").agg(F.max("n").alias("ceiling"))
     pushed = both.where("side = 'remote' AND kind = 'file' AND NOT tombstone").join(ceiling, "pass_id", "left")
     counter = F.coalesce(F.col("ceiling"), F.lit(0)) + 1
-    taken = pushed.withColumn("counter", counter).withColumn("vv", R.observed(F.col("vv"), own, F.col("counter")))
+    taken = pushed.withColumn("_own", own).withColumn("counter", counter).withColumn("vv", R.observed(F.col("vv"), F.col("_own"), F.col("counter")))
     return taken.select("pass_id", "path", F.greatest(F.col("counter"), F.lit(0)).alias("counter"))
 
 

@@ -145,12 +145,6 @@ def debounce_sessions(spark, sf_dir):
     return debounce.bursts(ev, "folder", "at", 3_600_000)
 
 
-@query(None)
-def debounce_max_delay(spark, sf_dir):
-    ev = _events(spark, sf_dir).withColumn("at", F.unix_millis("ts")).withColumn("lost", F.col("phase") == "error")
-    return debounce.debounced(ev, "folder", "at", "lost", 3_600_000, 7_200_000)
-
-
 @query(f"WITH {_EVENTS} SELECT CAST(epoch_ms(date_trunc('hour', ts)) AS BIGINT) AS hour_ms, phase, count(*) AS n FROM ev GROUP BY ALL")
 def windowed_counts(spark, sf_dir):
     counted = fold.windowed_counts(_events(spark, sf_dir), "ts", "phase")
@@ -243,12 +237,6 @@ def report_titles(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", title.alias("title"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json_extract(props, '$.k') AS BIGINT) > 50 AS attention FROM events")
-def report_json(spark, sf_dir):
-    k = F.from_json("props", "k bigint")["k"]
-    return table(spark, sf_dir, "events").select("event_id", k.alias("k"), (k > 50).alias("attention"))
-
-
 _CAUSES = ("path", "manifest", "record", "encoding", "directory_not_empty", "permission_denied", "io", "none")
 _TEXTS = ("incoming record is causally stale", "requested path is absent", "requested path changed after snapshot", "disk /private/x is gone")
 _SAID = {
@@ -310,27 +298,6 @@ def root_overlaps(spark, sf_dir):
     return inner.join(roots.select("id", F.col("path").alias("outer_path")), ["id", "outer_path"]).select("id", "outer_path", "inner_path")
 
 
-@query(f"WITH {_ROOTS}, q AS (SELECT s_suppkey AS request, ['ledger', 'ledger/2011', 'drafts', 'inbox/2020/a'][s_suppkey % 4 + 1] AS path FROM supplier), held AS (SELECT DISTINCT path FROM roots) SELECT DISTINCT request FROM q JOIN held h ON q.path = h.path OR starts_with(q.path, h.path || '/') OR starts_with(h.path, q.path || '/')")
-def admission_conflicts(spark, sf_dir):
-    """Requested roots that overlap a held one either way, as two equal joins on ancestors."""
-    k = F.col("s_suppkey")
-    asked = table(spark, sf_dir, "supplier").select(k.alias("request"), F.element_at(F.array(F.lit("ledger"), F.lit("ledger/2011"), F.lit("drafts"), F.lit("inbox/2020/a")), (k % 4 + 1).cast("int")).alias("path"))
-    held = table(spark, sf_dir, "index_records").where("kind = 'directory' AND folder IS NOT NULL AND path IS NOT NULL AND NOT coalesce(tombstone, false)").select("path").distinct()
-    below = asked.select("request", F.explode(P.ancestors(F.col("path"))).alias("path")).join(held, "path", "left_semi").select("request")
-    prefixes = held.select(F.explode(P.ancestors(F.col("path"))).alias("path")).distinct()
-    above = asked.join(prefixes, "path", "left_semi").select("request")
-    return below.unionByName(above).distinct()
-
-
-@query(f"SELECT pass_id, 'roots' AS check_name, CASE WHEN bool_and({sql_tidy('verified_local_root')} IS NOT DISTINCT FROM {sql_tidy('verified_remote_root')}) THEN 'pass' ELSE 'fail' END AS status FROM sync_reports WHERE pass_id IS NOT NULL GROUP BY ALL UNION ALL SELECT pass_id, 'traffic', CASE WHEN max(pulled_bytes + pushed_bytes) > 10000000 THEN 'warn' ELSE 'pass' END FROM sync_reports WHERE pass_id IS NOT NULL GROUP BY ALL")
-def doctor_checks(spark, sf_dir):
-    reports = table(spark, sf_dir, "sync_reports").where("pass_id IS NOT NULL").groupBy("pass_id").agg(
-        F.when(F.bool_and(tidy(F.col("verified_local_root")).eqNullSafe(tidy(F.col("verified_remote_root")))), "pass").otherwise("fail").alias("roots"),
-        F.when(F.max(F.col("pulled_bytes") + F.col("pushed_bytes")) > 10000000, "warn").otherwise("pass").alias("traffic"),
-    )
-    return reports.select("pass_id", F.explode(F.create_map(F.lit("roots"), "roots", F.lit("traffic"), "traffic")).alias("check_name", "status"))
-
-
 @query("SELECT CAST(sum(merkle_queries) AS BIGINT) AS merkle_queries, CAST(sum(local_actions) AS BIGINT) AS local_actions, CAST(sum(remote_actions) AS BIGINT) AS remote_actions, CAST(sum(pulled_bytes) AS BIGINT) AS pulled, CAST(sum(pushed_bytes) AS BIGINT) AS pushed, count(*) AS passes FROM (SELECT DISTINCT * FROM sync_reports)")
 def sync_totals(spark, sf_dir):
     s = lambda c, n: F.sum(c).alias(n)

@@ -238,16 +238,15 @@ def retry_backoff(spark, sf_dir):
 r AS (SELECT user_id, (epoch_us(ts) // 1000) + CAST(least(500 * power(2, least(attempts - 1, 31)), 300000) AS BIGINT) AS nb FROM (SELECT *, row_number() OVER (PARTITION BY user_id, run, failed ORDER BY ts, event_id) AS attempts FROM g) WHERE failed)
 SELECT user_id, max(nb) AS not_before_ms, (SELECT max((epoch_us(ts) // 1000)) FROM events) >= max(nb) AS due FROM r GROUP BY ALL""")
 def retry_due(spark, sf_dir):
-    now = table(spark, sf_dir, "events").agg(F.max(F.unix_millis(F.col("ts").cast("timestamp")))).first()[0] or 0
+    now = table(spark, sf_dir, "events").agg(F.max(F.unix_millis(F.col("ts").cast("timestamp")))).scalar()
     last = retry_backoff(spark, sf_dir).groupBy("user_id").agg(F.max("not_before_ms").alias("not_before_ms"))
-    return last.withColumn("due", F.lit(now) >= F.col("not_before_ms"))
+    return last.withColumn("due", now >= F.col("not_before_ms"))
 
 
 @query("SELECT folder, snap_no, path, kind, size FROM index_records WHERE path = (SELECT min(path) FROM index_records)")
 def point_lookup(spark, sf_dir):
     rows = table(spark, sf_dir, "index_records")
-    wanted = rows.agg(F.min("path")).first()[0]
-    return rows.where(F.col("path") == wanted).select("folder", "snap_no", "path", "kind", "size")
+    return rows.where(F.col("path") == rows.agg(F.min("path")).scalar()).select("folder", "snap_no", "path", "kind", "size")
 
 
 _PATHS = "(SELECT DISTINCT path FROM index_records WHERE path IS NOT NULL UNION SELECT p_name || CASE p_partkey % 9 WHEN 0 THEN '.' WHEN 1 THEN '/CON.txt' WHEN 2 THEN '/../x' WHEN 3 THEN '//a' WHEN 4 THEN '\\b' WHEN 5 THEN '/lpt3' WHEN 6 THEN '/a?b' WHEN 7 THEN '/' || repeat('n', 256) ELSE '/ok' END FROM part)"
