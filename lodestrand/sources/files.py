@@ -11,9 +11,11 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from ..functions import paths as P
+from ..functions.pyfuncs import profile_of, stream_chunks
+from ..runtime import cut
 
 LISTING = "path string, kind string, size long, modified_ns decimal(38,0), readonly boolean, issue string"
 
@@ -22,11 +24,46 @@ def _under(path: str, prefixes: Sequence[str]) -> bool:
     return any(path == p or path.startswith(p + "/") for p in prefixes)
 
 
+def _described(root: str, path: str) -> tuple:
+    """One entry's row; nothing is read but its metadata, and a link is not followed."""
+    from decimal import Decimal
+
+    at = os.path.join(root, path)
+    try:
+        path.encode()
+        st = os.lstat(at)
+    except UnicodeEncodeError:
+        return (path.encode(errors="surrogateescape").decode(errors="replace"), "other", 0, None, False, "name")
+    except OSError:
+        return (path, "other", 0, None, False, "unreadable")
+    if stat.S_ISREG(st.st_mode):
+        return (path, "file", st.st_size, Decimal(st.st_mtime_ns), not st.st_mode & 0o200, None)
+    if stat.S_ISDIR(st.st_mode):
+        return (path, "directory", 0, None, False, None if os.access(at, os.R_OK | os.X_OK) else "unreadable")
+    return (path, "symlink" if stat.S_ISLNK(st.st_mode) else "other", 0, None, False, None)
+
+
+def _walk(root: str, path: str, ignored: Sequence[str]) -> Iterator[tuple]:
+    """A row for the entry and, depth first and in order, for all below it."""
+    waiting = [path]
+    while waiting:
+        here = waiting.pop()
+        row = _described(root, here)
+        if row[1] == "directory" and row[5] is None:
+            try:
+                names = sorted(os.listdir(os.path.join(root, here)), reverse=True)
+            except OSError:
+                names, row = [], (*row[:5], "unreadable")
+            waiting.extend(c for n in names if not _under(c := f"{here}/{n}", ignored))
+        yield row
+
+
 class DirectorySource(DataSource):
     """Entries below a directory on a file system that all executors mount, as rows: options path, ignored (a JSON list of prefixes).
 
     Links are rows and are never followed. A directory that can't be read is a row with the issue 'unreadable', so that what was below it
-    isn't taken for deleted; a name that is no UTF-8 has the issue 'name'. One task lists one entry of the first level.
+    isn't taken for deleted; a name that is no UTF-8 has the issue 'name'. One task lists one entry of the first level; ``list_directory`` spreads
+    deeper trees. As a stream it gives the files that were modified since the last look, as hints for a scan.
     """
 
     @classmethod
@@ -39,6 +76,9 @@ class DirectorySource(DataSource):
     def reader(self, schema) -> DirectoryReader:
         return DirectoryReader(self.options["path"], json.loads(self.options.get("ignored", "[]")))
 
+    def simpleStreamReader(self, schema) -> DirectoryChanges:
+        return DirectoryChanges(self.options["path"], json.loads(self.options.get("ignored", "[]")))
+
 
 class DirectoryReader(DataSourceReader):
     def __init__(self, root: str, ignored: list[str]):
@@ -50,41 +90,121 @@ class DirectoryReader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if partition.value is not None:
-            yield from self._entry(partition.value)
+            yield from _walk(self.root, partition.value, self.ignored)
 
-    def _entry(self, path: str) -> Iterator[tuple]:
-        from decimal import Decimal
 
-        at = os.path.join(self.root, path)
-        try:
-            path.encode()
-            st = os.lstat(at)
-        except UnicodeEncodeError:
-            yield (path.encode(errors="surrogateescape").decode(errors="replace"), "other", 0, None, False, "name")
-            return
-        except OSError:
-            yield (path, "other", 0, None, False, "unreadable")
-            return
-        if stat.S_ISREG(st.st_mode):
-            yield (path, "file", st.st_size, Decimal(st.st_mtime_ns), not st.st_mode & 0o200, None)
-        elif stat.S_ISDIR(st.st_mode):
-            try:
-                names = sorted(os.listdir(at))
-            except OSError:
-                yield (path, "directory", 0, None, False, "unreadable")
-                return
-            yield (path, "directory", 0, None, False, None)
-            for n in names:
-                if not _under(f"{path}/{n}", self.ignored):
-                    yield from self._entry(f"{path}/{n}")
-        else:
-            yield (path, "symlink" if stat.S_ISLNK(st.st_mode) else "other", 0, None, False, None)
-
-
-def list_directory(spark: SparkSession, root: str, ignored: Sequence[str] = ()) -> DataFrame:
-    """The entries of ``DirectorySource``; contents aren't read."""
-    spark.dataSource.register(DirectorySource)
-    return spark.read.format("directory").option("path", root).option("ignored", json.dumps(list(ignored))).load()
+class DirectoryChanges(SimpleDataSourceStreamReader):
+    """The offset is the latest modification seen, in nanoseconds, with the paths that have it: a file is given once for each of its times."""
+
+    def __init__(self, root: str, ignored: list[str]):
+        self.root, self.ignored = root.removeprefix("file://"), ignored
+
+    def initialOffset(self) -> dict:
+        return {"ns": -1, "paths": []}
+
+    def _newer(self, since: int, seen: Sequence[str], until: int | None = None) -> list[tuple]:
+        rows = []
+        for name in sorted(os.listdir(self.root)):
+            if not _under(name, self.ignored):
+                rows += [r for r in _walk(self.root, name, self.ignored) if r[3] is not None]
+        known = set(seen)
+        return [r for r in rows if (r[3] > since or (r[3] == since and r[0] not in known)) and (until is None or r[3] <= until)]
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        rows = self._newer(start["ns"], start["paths"])
+        last = max((int(r[3]) for r in rows), default=start["ns"])
+        at = [r[0] for r in rows if r[3] == last] + (start["paths"] if last == start["ns"] else [])
+        return iter(rows), {"ns": last, "paths": sorted(at)}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        return iter(self._newer(start["ns"], start["paths"], end["ns"]))
+
+
+def list_directory(spark: SparkSession, root: str, ignored: Sequence[str] = (), levels: int = 1) -> DataFrame:
+    """The entries of ``DirectorySource``; contents aren't read.
+
+    levels: how many levels are listed one after the other, each in parallel over the directories of the one before, until whole subtrees are
+    walked by a task each. With one, a task walks an entry of the first level; a deep tree under one folder needs more.
+    """
+    if levels <= 1:
+        spark.dataSource.register(DirectorySource)
+        return spark.read.format("directory").option("path", root).option("ignored", json.dumps(list(ignored))).load()
+    base, skip = root.removeprefix("file://"), list(ignored)
+
+    def one_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _rows(r for p in batch.column(0).to_pylist() for n in _names(base, p) if not _under(c := f"{p}/{n}" if p else n, skip) for r in (_described(base, c),))
+
+    def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _rows(r for p in batch.column(0).to_pylist() for n in _names(base, p) if not _under(c := f"{p}/{n}", skip) for r in _walk(base, c, skip))
+
+    at = spark.createDataFrame([("",)], "path string")
+    found = None
+    for _ in range(levels):
+        level = cut(at.mapInArrow(one_level, LISTING))
+        found = level if found is None else found.unionByName(level)
+        folders = level.where("kind = 'directory' AND issue IS NULL").select("path")
+        at = folders.repartition(F.col("path"))
+    return found.unionByName(at.mapInArrow(subtrees, LISTING))
+
+
+def _names(base: str, path: str) -> list[str]:
+    try:
+        return sorted(os.listdir(os.path.join(base, path) if path else base))
+    except OSError:
+        return []  # the directory's own row tells that it is unreadable
+
+
+def _rows(rows) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 6
+    types = (pa.string(), pa.string(), pa.int64(), pa.decimal128(38, 0), pa.bool_(), pa.string())
+    names = ("path", "kind", "size", "modified_ns", "readonly", "issue")
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=list(names))
+
+
+#: Fixed value: a directory with more folders isn't listed.
+MAX_LISTED = 10_000
+
+
+def browse(spark: SparkSession, root: str, path: str = "", denied: Sequence[str] = ()) -> DataFrame:
+    """(name, path) of the folders in a folder, by name, without those that lie in, or hold, a denied one; in a denied one, or with more than 10,000, an error."""
+    if _under(path, denied):
+        raise PermissionError(f"{path} can't be listed")
+    base = root.removeprefix("file://")
+    entries = []
+    with os.scandir(os.path.join(base, path)) as found:
+        for e in found:
+            at = f"{path}/{e.name}" if path else e.name
+            if e.is_dir(follow_symlinks=False) and not _under(at, denied) and not any(_under(d, [at]) for d in denied):
+                entries.append((e.name, at))
+                if len(entries) > MAX_LISTED:
+                    raise ValueError("too many folders")
+    return spark.createDataFrame(sorted(entries), "name string, path string")
+
+
+def compare_trees(left: DataFrame, right: DataFrame, columns: Sequence[str] = ("path", "kind", "content_hash")) -> DataFrame:
+    """(side, *columns): rows that only one of two independently read trees has; empty if they are the same."""
+    a, b = left.select(*columns), right.select(*columns)
+    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right"))).select("side", *columns)
+
+
+def chunk_files(files: DataFrame, root: str, profile: tuple[int, int, int] | None = None) -> DataFrame:
+    """(path, idx, chunk_offset, length, hash) of the files' chunks, read from disk in order; two of the largest chunks are held at most. profile: see ``content_chunks``."""
+    base = root.removeprefix("file://")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in batch.column(0).to_pylist():
+                at = os.path.join(base, p)
+                with open(at, "rb") as f:
+                    found = list(enumerate(stream_chunks(f.read, profile or profile_of(os.path.getsize(at)))))
+                rows = [(p, i, o, n, h) for i, (o, n, h) in found]
+                columns = list(zip(*rows, strict=True)) or [[]] * 5
+                types = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["path", "idx", "chunk_offset", "length", "hash"])
+
+    return files.select("path").repartition("path").mapInArrow(run, "path string, idx int, chunk_offset long, length long, hash string")
 
 
 def hash_files(files: DataFrame, root: str) -> DataFrame:

@@ -6,12 +6,16 @@ current when its number's marker appears, so a reader sees the old one or the ne
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import paths as P
 from ..operators.delta import shard
+from ..operators.scan import state_delta
+from ..runtime import Folder
 
 
 def _fs(spark: SparkSession, path: str):
@@ -50,6 +54,93 @@ class SnapshotTable:
         rows.repartitionByRange(*self.keys).sortWithinPartitions(*self.keys).write.mode("overwrite").parquet(f"{self.path}/v{number}")
         return number
 
+    def replace(self, rows: DataFrame, seen: DataFrame) -> int:
+        """Commit an authoritative snapshot, if its live keys are just those that were seen; else an error and nothing is written."""
+        live, there = rows.where("NOT tombstone").select(*self.keys), seen.select(*self.keys).distinct()
+        if not live.join(there, self.keys, "left_anti").limit(1).unionByName(there.join(live, self.keys, "left_anti").limit(1)).isEmpty():
+            raise ValueError("what is there isn't the snapshot")
+        return self.commit(rows)
+
+
+def checked_records(rows: DataFrame, schema_version: Column, collision_key: Column) -> DataFrame:
+    """Index rows as they were stored; reading one of another schema, of a path that breaks the rules or with a stale collision key is an error."""
+    issue = F.when(schema_version != 1, "unsupported schema").when(P.path_issue(F.col("path")).isNotNull(), "invalid path").when(~collision_key.eqNullSafe(F.col("collision_key")), "stale collision key")
+    return rows.withColumn("path", F.when(issue.isNull(), F.col("path")).otherwise(F.raise_error(F.concat(F.lit("index record: "), issue)).cast("string")))
+
+
+class IndexStore:
+    """Records, retries and counters that are committed together: a commit writes the rows that changed, and its marker makes all of it current.
+
+    records: a base and the deltas since, the last of a key counting; after ``merge_every`` commits they become a new base. retries are small and
+    written whole. The marker is one small file with the commit's parts and counters, so a reader sees a commit or doesn't.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], schema: str, retries_schema: str, merge_every: int = 16):
+        self.spark, self.keys, self.schema, self.retries_schema, self.merge_every = spark, list(keys), schema, retries_schema, merge_every
+        self.folder = Folder(spark, path)
+
+    def _current(self) -> dict:
+        marks = [int(n[1:].removesuffix(".json")) for n in self.folder.names() if n.startswith("c") and n.endswith(".json")]
+        return json.loads(self.folder.read(f"c{max(marks)}.json")) if marks else {"number": 0, "parts": [], "retries": None, "counters": {}}
+
+    def counters(self) -> dict[str, int]:
+        return self._current()["counters"]
+
+    def records(self) -> DataFrame:
+        return self._records(self._current())
+
+    def _records(self, current: dict) -> DataFrame:
+        rows = None
+        for n in current["parts"]:
+            part = self.spark.read.schema(self.schema).parquet(f"{self.folder.path}/records-{n}").withColumn("_n", F.lit(n))
+            rows = part if rows is None else rows.unionByName(part)
+        if rows is None:
+            return self.spark.createDataFrame([], self.schema)
+        if len(current["parts"]) == 1:
+            return rows.drop("_n")
+        columns = [c for c in rows.columns if c not in (*self.keys, "_n")]
+        return rows.groupBy(*self.keys).agg(F.max_by(F.struct(*columns), "_n").alias("_r")).select(*self.keys, "_r.*")
+
+    def retries(self) -> DataFrame:
+        at = self._current()["retries"]
+        return self.spark.createDataFrame([], self.retries_schema) if at is None else self.spark.read.schema(self.retries_schema).parquet(f"{self.folder.path}/retries-{at}")
+
+    def commit(self, rows: DataFrame, retries: DataFrame, counters: dict[str, int]) -> int:
+        """The next state of the index; only records that are new or differ from the stored ones are written. Gives the commit's number."""
+        now = self._current()
+        number = now["number"] + 1
+        fields = [c for c in rows.columns if c not in self.keys]
+        merge = len(now["parts"]) >= self.merge_every
+        changed = rows if merge or not now["parts"] else state_delta(self._records(now), rows, self.keys, fields)
+        changed.select(*self.keys, *fields).write.mode("overwrite").parquet(f"{self.folder.path}/records-{number}")
+        retries.write.mode("overwrite").parquet(f"{self.folder.path}/retries-{number}")
+        parts = [number] if merge else [*now["parts"], number]
+        self.folder.write(f"c{number}.json", json.dumps({"number": number, "parts": parts, "retries": number, "counters": counters}))
+        return number
+
+
+class Catalogue:
+    """One small document that many read and few change: a change is made to what is there now, and lost if somebody was faster."""
+
+    def __init__(self, spark: SparkSession, path: str, most_bytes: int = 4 << 20):
+        self.folder, self.most = Folder(spark, path), most_bytes
+
+    def _last(self) -> int:
+        return max((int(n[1:].removesuffix(".json")) for n in self.folder.names() if n.startswith("v") and n.endswith(".json")), default=0)
+
+    def read(self) -> dict:
+        last = self._last()
+        return json.loads(self.folder.read(f"v{last}.json")) if last else {}
+
+    def update(self, change: Callable[[dict], dict]) -> dict:
+        last = self._last()
+        new = change(json.loads(self.folder.read(f"v{last}.json")) if last else {})
+        text = json.dumps(new)
+        if len(text.encode()) > self.most:
+            raise ValueError("the catalogue is too large")
+        self.folder.write(f"v{last + 1}.json", text)  # an error if that number was taken meanwhile
+        return new
+
 
 class KeyedTable:
     """Append-only puts; a get sees the last put of a key."""

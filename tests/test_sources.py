@@ -75,3 +75,97 @@ def test_manifest_cache(spark):
     wanted = spark.createDataFrame([("a", 1, None), ("b", 1, 2)], "path string, size int, modified int")
     cache = spark.createDataFrame([("a", 1, None, "m"), ("b", 9, 2, "m")], "path string, size int, modified int, manifest_hash string")
     assert {r["path"]: r["manifest_hash"] for r in tables.cached_manifests(wanted, cache, ["size", "modified"]).collect()} == {"a": "m", "b": None}
+
+
+def test_levels_give_the_same_listing(spark, tree):
+    (tree / "docs/deep/er/still").mkdir(parents=True)
+    (tree / "docs/deep/er/still/z.txt").write_text("z")
+    (tree / "docs/closed").mkdir()
+    whole = sorted(map(tuple, files.list_directory(spark, os.fspath(tree), ["inbox"]).collect()))
+    for levels in (2, 3, 9):
+        assert sorted(map(tuple, files.list_directory(spark, os.fspath(tree), ["inbox"], levels).collect())) == whole
+    assert files.compare_trees(*(files.scan_directory(spark, os.fspath(tree)) for _ in range(2))).count() == 0
+    now = files.scan_directory(spark, os.fspath(tree))
+    before = spark.createDataFrame(now.collect(), now.schema)
+    (tree / "a.txt").write_text("other")
+    assert sorted((r["side"], r["path"]) for r in files.compare_trees(before, files.scan_directory(spark, os.fspath(tree))).collect()) == [("left", "a.txt"), ("right", "a.txt")]
+
+
+def test_a_directory_as_a_stream(spark, tree, tmp_path):
+    spark.dataSource.register(files.DirectorySource)
+    reader = files.DirectoryChanges(os.fspath(tree), ["inbox"])
+    rows, offset = reader.read(reader.initialOffset())
+    assert sorted(r[0] for r in rows) == ["a.txt", "docs/b+c.md", "docs/deep/ü.bin"]
+    assert list(reader.read(offset)[0]) == []
+    (tree / "docs/new.txt").write_text("n")
+    os.utime(tree / "docs/new.txt", ns=(offset["ns"], offset["ns"]))  # at the same instant as the last one
+    again, later = reader.read(offset)
+    assert [r[0] for r in again] == ["docs/new.txt"] and [r[0] for r in reader.readBetweenOffsets(offset, later)] == ["docs/new.txt"]
+    stream = spark.readStream.format("directory").option("path", os.fspath(tree)).load()
+    query = stream.writeStream.format("memory").queryName("seen_files").option("checkpointLocation", os.fspath(tmp_path / "cp")).start()
+    try:
+        query.processAllAvailable()
+        assert {r["path"] for r in spark.table("seen_files").collect()} >= {"a.txt", "docs/new.txt", "inbox/no.txt"}
+    finally:
+        query.stop()
+
+
+def test_browse(spark, tree):
+    (tree / "docs/private/x").mkdir(parents=True)
+    assert [tuple(r) for r in files.browse(spark, os.fspath(tree)).collect()] == [("docs", "docs"), ("inbox", "inbox")]
+    assert [r["name"] for r in files.browse(spark, os.fspath(tree), "docs", ["docs/private"]).collect()] == ["deep"]
+    with pytest.raises(PermissionError):
+        files.browse(spark, os.fspath(tree), "docs/private/x", ["docs/private"])
+
+
+def test_files_are_chunked_from_disk(spark, tree):
+    from lodestrand.functions.pyfuncs import content_chunks, seeded_bytes
+
+    data = seeded_bytes(3, "disk", 9000)
+    (tree / "big.bin").write_bytes(data)
+    found = files.list_directory(spark, os.fspath(tree)).where("kind = 'file'")
+    got = files.chunk_files(found, os.fspath(tree), (64, 256, 1024)).where("path = 'big.bin'")
+    want = content_chunks(spark.createDataFrame([("big.bin", data)], "path string, content binary"), profile=(64, 256, 1024))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert files.chunk_files(found, os.fspath(tree)).where("path = 'a.txt'").count() == 1
+
+
+def test_index_store(spark, tmp_path):
+    schema, retries = "path string, n int, tombstone boolean", "path string, attempts long"
+    store = tables.IndexStore(spark, os.fspath(tmp_path / "index"), ["path"], schema, retries, merge_every=3)
+    assert store.records().count() == 0 and store.counters() == {}
+    want = {}
+    for i in range(6):
+        want |= {f"p{i}": (i, False), "p0": (i * 10, i == 5)}
+        rows = spark.createDataFrame([(p, *v) for p, v in want.items()], schema)
+        assert store.commit(rows, spark.createDataFrame([("r", i)], retries), {"generation": i}) == i + 1
+        again = tables.IndexStore(spark, os.fspath(tmp_path / "index"), ["path"], schema, retries)
+        assert {r["path"]: (r["n"], r["tombstone"]) for r in again.records().collect()} == want
+        assert again.counters() == {"generation": i} and [r["attempts"] for r in again.retries().collect()] == [i]
+    written = spark.read.parquet(os.fspath(tmp_path / "index/records-3")).count()
+    assert written == 2  # the new row and the changed one
+
+
+def test_replace_and_integrity(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    t = tables.SnapshotTable(spark, os.fspath(tmp_path / "snap"), ["path"])
+    rows = spark.createDataFrame([("a", False), ("b", True)], "path string, tombstone boolean")
+    seen = spark.createDataFrame([("a",)], "path string")
+    assert t.replace(rows, seen) == 1
+    with pytest.raises(ValueError, match="isn't the snapshot"):
+        t.replace(rows, seen.unionByName(spark.createDataFrame([("c",)], "path string")))
+    stored = spark.createDataFrame([("A", 1, "a")], "path string, v int, collision_key string")
+    assert tables.checked_records(stored, F.col("v"), F.lower("path")).count() == 1
+    for bad in (("A", 2, "a"), ("/A", 1, "/a"), ("A", 1, "A")):
+        with pytest.raises(Exception, match="index record"):
+            tables.checked_records(spark.createDataFrame([bad], stored.schema), F.col("v"), F.lower("path")).select("path").collect()
+
+
+def test_catalogue(spark, tmp_path):
+    c = tables.Catalogue(spark, os.fspath(tmp_path / "cat"), most_bytes=100)
+    assert c.read() == {}
+    c.update(lambda d: d | {"a": 1})
+    assert c.update(lambda d: d | {"b": 2}) == {"a": 1, "b": 2} == tables.Catalogue(spark, os.fspath(tmp_path / "cat")).read()
+    with pytest.raises(ValueError, match="too large"):
+        c.update(lambda d: d | {"x": "y" * 200})
