@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from lodestrand.llm.packing import best_fit, fill_report, pack
+from lodestrand.llm.packing import best_fit, cluster_sweep, fill_report, pack, sweep
 
 
 def one_by_one(sizes, capacity):
@@ -29,10 +29,10 @@ def test_plan(sizes):
     used = Counter()
     for rank, size in enumerate(real):
         run = max(i for i, r in enumerate(plan.rank) if r <= rank)
-        used[plan.first[run] + rank - plan.rank[run]] += size
+        used[plan.first[run] + (rank - plan.rank[run]) // plan.each[run]] += size
     assert plan.sized == len(real) and (not used or max(used.values()) <= 50)
     if real:
-        assert set(used) == set(range(plan.containers))
+        assert set(used) <= set(range(plan.containers))
         assert plan.containers <= one_by_one(sizes, 50) * 1.1 + 1
 
 
@@ -68,3 +68,43 @@ def test_empty_table_and_only_empty_texts(spark):
     assert placed(spark, [(1, 1, "x")][:0]) == []
     assert [(r["doc_id"], r["n_tokens"], r["container"]) for r in placed(spark, [(1, 0, "x"), (2, None, "x")])] == [(1, 0, 0), (2, 0, 0)]
     assert fill_report(spark.createDataFrame([], "doc_id long, piece long, n_tokens long, container long")).first()["containers"] == 0
+
+
+def test_sweeps_on_the_cluster_are_the_sweep(spark):
+    rng = random.Random(4)
+    counts = Counter(min(2048, max(1, int(rng.gauss(900, 500)))) for _ in range(3000))
+    here, there = best_fit(counts), best_fit(counts, 2048, cluster_sweep(spark, 2048))
+    tokens = sum(s * n for s, n in counts.items())
+    assert here.containers == there.containers and here.rounds == there.rounds
+    assert sum(counts.values()) == here.sized and here.containers <= one_by_one(list(counts.elements()), 2048) * 1.01
+    assert tokens <= here.containers * 2048
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 5), max_size=15), st.lists(st.tuples(st.integers(1, 30), st.integers(1, 5)), max_size=15))
+def test_a_sweep_gives_each_its_successor(sizes, gaps):
+    """Against documents one by one, largest first, each taking the smallest gap that was there before the round."""
+    runs, at = [], {False: 0, True: 0}
+    rows = [(s, False, n) for s, n in sizes.items()] + [(g, True, n) for g, n in gaps]
+    for value, is_gap, n in sorted(rows, key=lambda r: -r[0]):
+        runs.append((value, is_gap, at[is_gap], n))
+        at[is_gap] += n
+    found, left = sweep(runs)
+    free = [[g, c + i, g] for g, is_gap, c, n in runs if is_gap for i in range(n)]
+    placed, waiting = {}, 0
+    for size, is_gap, first, n in runs:
+        if is_gap:
+            continue
+        for rank in range(first, first + n):
+            fits = [f for f in free if f[2] >= size and (f[0] == f[2] or placed.get(("last", f[1])) == size)]
+            if not fits:
+                waiting += 1
+                continue
+            best = min(fits, key=lambda f: (f[2], f[0]))
+            best[2] -= size
+            placed[rank], placed["last", best[1]] = best[0], size
+    got = {r + i: g for _, g, r, _, m, k in found for i in range(m * k)}
+    assert sum(n for _, is_gap, _, n in left if not is_gap) == waiting
+    assert Counter(got.values()) == Counter(v for k, v in placed.items() if not isinstance(k, tuple))
+    boxes = [c + i for _, _, _, c, m, _ in found for i in range(m)]
+    assert len(boxes) == len(set(boxes))
