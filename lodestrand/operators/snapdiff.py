@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tidy
-from ..runtime import cut
+from ..runtime import cut, materialise
 
 #: Mean number of paths in a chunk.
 CHUNK_PATHS = 64
@@ -116,6 +116,7 @@ def unmatched_rows(records: DataFrame, chunk_paths: int = CHUNK_PATHS, partition
         "folder", "snap_no", "path", "pos", "next_no", "kind", "content_hash", "id_namespace", "id_object",
         F.unhex(F.sha2(state, 256)).alias("digest"), is_cut.alias("is_cut"),
     )
+    rows = materialise(rows, "snapshot-rows")  # a range sort reads its input twice, for its bounds and for its rows
     ranged = rows.repartitionByRange(partitions, "folder", "path") if partitions else rows.repartitionByRange("folder", "path")
     ordered = ranged.sortWithinPartitions("folder", "path", "pos")
     return ordered.mapInArrow(_cut_first(_chunked), _ROLE_SCHEMA)

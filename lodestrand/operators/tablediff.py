@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tidy
+from ..runtime import materialise
 
 #: Rows of both sides that one bucket holds on average.
 BUCKET_ROWS = 50_000
@@ -130,9 +131,9 @@ def side_rows(rows: DataFrame) -> DataFrame:
 
 def copy_differences(rows: DataFrame, buckets: int | None = None, total: int | None = None) -> DataFrame:
     """Missing rows and differing fields of every pass."""
+    tidied = materialise(side_rows(rows), "sides")  # read for either side and for the number of buckets
     if buckets is None:
-        buckets = max(1, -(-(rows.count() if total is None else total) // BUCKET_ROWS))
-    tidied = side_rows(rows)
+        buckets = max(1, -(-(tidied.count() if total is None else total) // BUCKET_ROWS))
     local, remote = (tidied.where(F.col("side") == s).drop("side") for s in ("local", "remote"))
     return diff_cells(local, remote, ["pass_id", "path"], FIELDS, "missing_local", "missing_remote", buckets)
 

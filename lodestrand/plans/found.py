@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.changefold import fold_changes, live
+from ..operators.changefold import fold_changes, frontier, live
 from ..operators.snapdiff import snapshot_changes
 from ..operators.tablediff import belied_roots, copy_differences
 from ..runtime import cut, table
@@ -22,6 +22,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live(state, "path", "record_hash")
 
 
+def p1_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same state from two feeds: the earlier deliveries leave their frontier, on which the later ones are folded."""
+    feed = table(spark, sf_dir, "provenance")
+    half = feed.agg(F.percentile_approx("seq", 0.5)).scalar()
+    early = F.coalesce(F.col("seq") <= half, F.lit(True))
+    shape = ("path", "accepted_at", "seq", "operation", ["record_hash"], ["peer", "epoch"])
+    state = fold_changes(feed.where(~early), *shape, base=frontier(feed.where(early), *shape))
+    return state.select("path", "seq", "operation", "record_hash", "deleted")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot_changes(table(spark, sf_dir, "index_records"))
 
@@ -39,7 +49,7 @@ def p5_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copy_differences(table(spark, sf_dir, "snapshot_rows")).groupBy("pass_id", "field_name").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_state, p3_found, p3_summary, p5_found, p5_summary)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_state, p1_increments, p3_found, p3_summary, p5_found, p5_summary)}
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
 
@@ -90,6 +100,7 @@ WITH r AS (SELECT DISTINCT pass_id, {_TIDY('side')} AS side, path, kind, size, {
 ORACLES = {
     "p1_found": _P1 + "SELECT path, record_hash FROM last WHERE r = 1 AND operation = 'adopt'",
     "p1_state": _P1 + "SELECT path, seq, operation, record_hash, operation = 'delete' AS deleted FROM last WHERE r = 1",
+    "p1_increments": _P1 + "SELECT path, seq, operation, record_hash, operation = 'delete' AS deleted FROM last WHERE r = 1",
     "p3_found": _P3 + "SELECT * FROM found",
     "p3_summary": _P3 + "SELECT folder, snap_no, change_kind, count(*) AS n FROM found GROUP BY ALL",
     "p5_found": _P5 + f"SELECT * FROM cells UNION ALL SELECT DISTINCT pass_id, '', 'root' FROM sync_reports WHERE {_TIDY('local_before_root')} = {_TIDY('remote_before_root')} AND pass_id IN (SELECT pass_id FROM cells)",
