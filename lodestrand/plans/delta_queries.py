@@ -177,7 +177,7 @@ def profile_validation(spark, sf_dir):
     return p.select("p_partkey", R.profile_issue(F.col("v"), F.col("lo"), F.col("me"), F.col("hi")).alias("issue"))
 
 
-_PEERS = "peers AS (SELECT s_suppkey AS peer, 5 + s_suppkey * 37 % 190 AS rtt_ms, s_suppkey * 7919 % 5000000 AS queued_bytes, CAST(greatest(floor(s_acctbal), 0) * 1000 AS BIGINT) AS goodput_bps, CASE WHEN s_suppkey % 5 = 0 THEN 2 ELSE 0 END AS failure_penalty FROM supplier), avail AS (SELECT DISTINCT l_suppkey AS peer, l_partkey AS hash FROM lineitem), miss AS (SELECT p_partkey AS hash FROM part WHERE p_partkey % 3 <> 0)"
+_PEERS = "peers AS (SELECT s_suppkey AS peer, 5 + s_suppkey * 37 % 190 AS rtt_ms, s_suppkey * 7919 % 5000000 AS queued_bytes, CAST(greatest(floor(s_acctbal), 0) * 1000 AS BIGINT) AS goodput_bps, CASE WHEN s_suppkey % 5 = 0 THEN 2 ELSE 0 END AS failure_penalty FROM supplier), avail AS (SELECT DISTINCT l_suppkey AS peer, l_partkey AS hash FROM lineitem), miss AS (SELECT p_partkey AS hash FROM part)"
 
 
 def _peers(spark, sf_dir):
@@ -192,7 +192,7 @@ def _avail(spark, sf_dir):
 
 
 def _miss(spark, sf_dir):
-    return table(spark, sf_dir, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("hash"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("hash"))
 
 
 @query(f"WITH {_PEERS} SELECT miss.hash, count(peer) AS providers FROM miss LEFT JOIN avail ON avail.hash = miss.hash GROUP BY ALL")
@@ -228,9 +228,9 @@ def greedy_schedule(spark, sf_dir):
     return swarm.greedy_schedule(jobs, _avail(spark, sf_dir), _peers(spark, sf_dir))
 
 
-@query(f"WITH {_PEERS}, d AS (SELECT peer, hash FROM avail WHERE (peer + hash) % 7 = 0) SELECT peer, count(*) AS chunks, CAST(sum(hash % 1000 + 1) AS BIGINT) AS bytes FROM d GROUP BY ALL")
+@query(f"WITH {_PEERS}, d AS (SELECT peer, hash FROM avail) SELECT peer, count(*) AS chunks, CAST(sum(hash % 1000 + 1) AS BIGINT) AS bytes FROM d GROUP BY ALL")
 def source_receipts(spark, sf_dir):
-    done = _avail(spark, sf_dir).distinct().where("(peer + hash) % 7 = 0")
+    done = _avail(spark, sf_dir).distinct()
     return done.groupBy("peer").agg(F.count("*").alias("chunks"), F.sum(F.col("hash") % 1000 + 1).alias("bytes"))
 
 

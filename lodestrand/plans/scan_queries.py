@@ -170,9 +170,12 @@ def stale_collision_keys(spark, sf_dir):
     return rows.where(~F.col("collision_key").eqNullSafe(F.col("expected")))
 
 
-@query(f"WITH {LATEST} SELECT path, lower(path) AS folded FROM (SELECT DISTINCT path FROM latest) WHERE regexp_full_match(path, '[ -~]*')")
+@query(f"WITH {LATEST} SELECT path, regexp_full_match(path, '[ -~]*') AS is_ascii, CASE WHEN regexp_full_match(path, '[ -~]*') THEN lower(path) END AS folded FROM (SELECT DISTINCT path FROM latest)")
 def ascii_collision_keys(spark, sf_dir):
-    return latest(spark, sf_dir).select("path").distinct().where(F.col("path").rlike("^[ -~]*$")).select("path", collision_key("path").alias("folded"))
+    """Every path's folded form, shown where SQL has one too."""
+    ascii_only = F.col("path").rlike("^[ -~]*$")
+    keyed = latest(spark, sf_dir).select("path").distinct().select("path", ascii_only.alias("is_ascii"), collision_key("path").alias("folded"))
+    return keyed.withColumn("folded", F.when(F.col("is_ascii"), F.col("folded")))
 
 
 @query(f"WITH {STEPS} SELECT c.folder, c.snap_no, c.path, c.kind, c.size, c.content_hash FROM cur c LEFT JOIN prev p ON p.folder = c.folder AND p.snap_no = c.snap_no AND p.path = c.path WHERE p.path IS NULL OR p.kind IS DISTINCT FROM c.kind OR p.size IS DISTINCT FROM c.size OR p.content_hash IS DISTINCT FROM c.content_hash")
