@@ -75,6 +75,20 @@ def both_known_and_equal(a: Column, b: Column) -> Column:
     return F.coalesce(a == b, F.lit(False))
 
 
+def trusts(o: str, f: str, r: str) -> Column:
+    """Whether a file needn't be read again: what was observed when it was put there (o) is what its metadata (f) and the record (r) say.
+
+    Struct columns; times of change must be known and equal, all else may be null on both sides.
+    """
+    c = lambda s, n: F.col(f"{s}.{n}")
+    out = both_known_and_equal(c(o, "changed_ns"), c(f, "changed_ns")) & c(o, "content_hash").eqNullSafe(c(r, "content_hash"))
+    for n in ("size", "readonly"):
+        out = out & c(o, n).eqNullSafe(c(f, n)) & c(o, n).eqNullSafe(c(r, n))
+    for n in ("modified_ns", "id_namespace", "id_object"):
+        out = out & c(o, n).eqNullSafe(c(f, n))
+    return out
+
+
 def digest(*parts: Column | str) -> Column:
     """SHA-256 over parts joined by '|'; null is '-'."""
     return F.sha2(F.concat_ws("|", *(F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("-")) for p in parts)), 256)

@@ -40,6 +40,21 @@ def ticket_issue(version: Column, name: Column, issued_at: Column, expires_at: C
     )
 
 
+#: Fixed value: how a ticket's text begins; its bytes follow as hex digits.
+TICKET_PREFIX = "share1-"
+
+
+def ticket_text(raw: Column) -> Column:
+    return F.concat(F.lit(TICKET_PREFIX), F.lower(F.hex(raw)))
+
+
+def parsed_ticket(text: Column) -> Column:
+    """(issue, raw) of a ticket's text: version (another prefix), too_long or malformed, else the bytes; they give the same text again."""
+    body = F.substring(text, len(TICKET_PREFIX) + 1, 1_000_000)
+    issue = F.when(F.octet_length(text) > 2 * MAX_TICKET_BYTES + len(TICKET_PREFIX), "too_long").when(~F.startswith(text, F.lit(TICKET_PREFIX)), "version").when(~body.rlike("^([0-9a-f]{2})+$"), "malformed")
+    return F.struct(issue.alias("issue"), F.when(issue.isNull(), F.unhex(body)).alias("raw"))
+
+
 def issuance_outcomes(tickets: DataFrame, registry: DataFrame, shares: DataFrame) -> DataFrame:
     """(ticket, outcome) against what was issued: unknown_share, invalid_ticket (never issued, or other than issued), invitation_revoked, valid.
 

@@ -27,6 +27,43 @@ def manifest_issues(extents: DataFrame, high: int) -> DataFrame:
     return per_file.join(twice, "path").select("path", F.explode(named).alias("issue"))
 
 
+#: Fixed value: the digest of nothing.
+EMPTY = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def declared_issues(declared: DataFrame, extents: DataFrame, high: int) -> DataFrame:
+    """(path, issue), the first rule a manifest breaks, by what it declares and by its extents; none if it is valid.
+
+    declared: (path, version, size, file_hash). In order: version, chunks_for_empty_file, empty_hash, missing_chunks, those of ``manifest_issues``
+    (the first by name), size (the extents' lengths don't add up to the declared one).
+    """
+    total = extents.groupBy("path").agg(F.sum("length").alias("_sum"))
+    inner = manifest_issues(extents, high).groupBy("path").agg(F.min("issue").alias("_inner"))
+    met = declared.join(total, "path", "left").join(inner, "path", "left")
+    none = F.col("_sum").isNull()
+    issue = (
+        F.when(F.col("version") != 1, "version").when((F.col("size") == 0) & ~none, "chunks_for_empty_file").when((F.col("size") == 0) & (F.col("file_hash") != EMPTY), "empty_hash")
+        .when((F.col("size") != 0) & none, "missing_chunks").when(F.col("_inner").isNotNull(), F.col("_inner")).when(F.coalesce("_sum", F.lit(0)) != F.col("size"), "size")
+    )
+    return met.withColumn("issue", issue).where(F.col("issue").isNotNull()).select("path", "issue")
+
+
+def chunk_contents(files: DataFrame, extents: DataFrame) -> DataFrame:
+    """(path, idx, hash, content, ok) of each extent, read from its file's content by place; ok tells whether it is what its hash says."""
+    met = extents.join(files.select("path", F.col("content").alias("_whole")), "path")
+    part = F.substring("_whole", (F.col("chunk_offset") + 1).cast("int"), F.col("length").cast("int"))
+    read = met.withColumn("content", part)
+    return read.select("path", "idx", "hash", "content", ((F.octet_length("content") == F.col("length")) & (F.sha2("content", 256) == F.col("hash"))).alias("ok"))
+
+
+def files_match(files: DataFrame, extents: DataFrame) -> DataFrame:
+    """(path, matches): whether a file has the manifest's size and each of its chunks."""
+    read = chunk_contents(files, extents).groupBy("path").agg(F.bool_and("ok").alias("_ok"))
+    size = extents.groupBy("path").agg(F.sum("length").alias("_size"))
+    met = files.select("path", F.octet_length("content").cast("bigint").alias("_n")).join(size, "path", "left").join(read, "path", "left")
+    return met.select("path", ((F.col("_n") == F.coalesce("_size", F.lit(0))) & F.coalesce("_ok", F.lit(True))).alias("matches"))
+
+
 def first_uses(extents: DataFrame) -> DataFrame:
     """Each file's distinct hashes with the place of first use."""
     return extents.groupBy("path", "hash").agg(F.min("idx").alias("first_idx"), F.max("length").alias("length"), F.count("*").alias("uses"))

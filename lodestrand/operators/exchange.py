@@ -117,6 +117,12 @@ def requested_frames(requests: DataFrame, extents: DataFrame, keys: Sequence[str
     return sent.select(*keys, "pos", "hash", "length", F.coalesce(F.sum("_sent").over(before), F.lit(0)).alias("bytes_before"), "issue")
 
 
+def request_issues(requests: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
+    """(*keys, asked, issue) of each request for chunks (*keys, hash): too_many, duplicate, null if it may be answered."""
+    counted = requests.groupBy(*keys, "hash").agg(F.count("*").alias("_n")).groupBy(*keys).agg(F.sum("_n").alias("asked"), F.max("_n").alias("_most"))
+    return counted.select(*keys, "asked", F.when(F.col("asked") > most, "too_many").when(F.col("_most") > 1, "duplicate").alias("issue"))
+
+
 def received_issues(frames: DataFrame, requests: DataFrame, extents: DataFrame, keys: Sequence[str], most: int = MAX_CHUNK) -> DataFrame:
     """(*keys, pos, issue) of frames as they came in (pos, hash, length): order, unknown, length, too_long, surplus; and not_sent for requests without one."""
     known = extents.groupBy(*keys, "hash").agg(F.max("length").alias("_length"))

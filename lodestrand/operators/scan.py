@@ -118,6 +118,15 @@ def scan_report(changes: DataFrame, hashed: DataFrame, retries: DataFrame, group
     return counted
 
 
+def inventory(rows: DataFrame, retries: DataFrame, group: Sequence[str]) -> DataFrame:
+    """(*group, live, tombstones, files, bytes, retries): what an index holds, bytes of its live files."""
+    file = ~F.col("tombstone") & (F.col("kind") == "file")
+    held = rows.groupBy(*group).agg(
+        F.count_if(~F.col("tombstone")).alias("live"), F.count_if(F.col("tombstone")).alias("tombstones"), F.count_if(file).alias("files"), F.coalesce(F.sum(F.when(file, F.col("size"))), F.lit(0)).alias("bytes")
+    )
+    return held.join(retries.groupBy(*group).agg(F.count("*").alias("retries")), list(group), "left").withColumn("retries", F.coalesce("retries", F.lit(0)))
+
+
 def deferred(wanted: DataFrame, retries: DataFrame, keys: Sequence[str], now_ms: Column) -> DataFrame:
     """Files to hash with their turn: hash, or defer if an earlier failure's time to try again hasn't come; what is deferred stays as it is stored."""
     waits = retries.select(*keys, F.col("not_before_ms").alias("_nb"))

@@ -112,12 +112,3 @@ def greedy_schedule(missing: DataFrame, availability: DataFrame, peers: DataFram
         beyond = rated.join(stands, group).where((F.col("providers") > F.col("_providers")) | ((F.col("providers") == F.col("_providers")) & (F.col("hash") > F.col("_hash"))))
         room = (F.col("_used") < limits.max_chunks_per_peer) | (F.col("_used").isNull() & ~F.col("_full"))
         feasible = beyond.join(counts, [group, "peer"], "left").where(room).select(*rated.columns)
-
-
-def fill_rounds(assignments: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Per source: chunks and bytes delivered, and chunks to assign anew. outcomes: (hash, peer, ok, length)."""
-    joined = assignments.join(outcomes, ["hash", "peer"], "left")
-    ok = F.coalesce("ok", F.lit(False))
-    return joined.groupBy("peer").agg(F.count_if(ok).alias("delivered"), F.coalesce(F.sum(F.when(ok, F.col("length"))), F.lit(0)).alias("bytes"), F.count_if(~ok).alias("again"))
-
-

@@ -53,10 +53,15 @@ def ticket_validity(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", issue.alias("issue"))
 
 
-@query("SELECT c_custkey, 'share1-' || lower(hex(encode(c_name))) AS ticket, c_name AS decoded FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'version' WHEN c_custkey % 11 = 0 THEN 'malformed' WHEN c_custkey % 13 = 0 THEN 'too_long' END AS issue, CASE WHEN c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 AND c_custkey % 13 <> 0 THEN c_name END AS decoded FROM customer")
 def ticket_text(spark, sf_dir):
-    text = F.concat(F.lit("share1-"), F.lower(F.hex(F.encode("c_name", "UTF-8"))))
-    return table(spark, sf_dir, "customer").select("c_custkey", text.alias("ticket")).withColumn("decoded", F.decode(F.unhex(F.substring("ticket", 8, 1_000_000)), "UTF-8"))
+    """Tickets as texts, some spoiled, and what is read from them."""
+    k = F.col("c_custkey")
+    name = F.when((k % 13 == 0) & (k % 7 != 0) & (k % 11 != 0), F.repeat("c_name", F.lit(600))).otherwise(F.col("c_name"))
+    text = access.ticket_text(F.encode(name, "UTF-8"))
+    text = F.when(k % 7 == 0, F.concat(F.lit("old-"), text)).when(k % 11 == 0, F.concat(text, F.lit("0"))).otherwise(text)
+    read = table(spark, sf_dir, "customer").select("c_custkey", access.parsed_ticket(text).alias("p"))
+    return read.select("c_custkey", "p.issue", F.decode("p.raw", "UTF-8").alias("decoded"))
 
 
 _LOG = "log AS (SELECT c_nationkey AS share, o_custkey AS endpoint, CASE o_orderstatus WHEN 'F' THEN 'revoke' WHEN 'P' THEN 'issue' ELSE 'enrol' END AS event, CASE WHEN o_orderkey % 3 = 0 THEN 'read_only' ELSE 'read_write' END AS permission, o_orderkey AS seq FROM orders JOIN customer ON c_custkey = o_custkey)"

@@ -8,7 +8,7 @@ from ..functions import display as D
 from ..functions import records as R
 from ..functions.pyfuncs import content_chunks
 from ..functions.text import digest_bytes
-from ..operators import delta, swarm
+from ..operators import delta, exchange, swarm
 from ..runtime import table
 from .registry import Registry
 from .relations import EXTENTS, MANIFESTS, STORED, extents, sql_key, stored
@@ -85,6 +85,12 @@ def requested_send(spark, sf_dir):
     return sent.groupBy("plan_id").agg(F.count_if(F.col("_h").isNotNull()).alias("sent"), F.count_if(F.col("_h").isNull()).alias("reported_missing"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
 
+@query(f"WITH {_ASKED} SELECT plan_id, count(*) AS asked, CASE WHEN count(*) > 12 THEN 'too_many' WHEN count(*) <> count(DISTINCT hash) THEN 'duplicate' END AS issue FROM asked GROUP BY ALL")
+def request_guards(spark, sf_dir):
+    """Plans as requests for chunks, of which one may ask for a dozen."""
+    return exchange.request_issues(_asked(spark, sf_dir), ["plan_id"], 12)
+
+
 @query(f"WITH {_ASKED} SELECT plan_id, hash, count(*) AS n FROM asked GROUP BY ALL HAVING count(*) > 1")
 def duplicate_requests(spark, sf_dir):
     return _asked(spark, sf_dir).groupBy("plan_id", "hash").agg(F.count("*").alias("n")).where("n > 1")
@@ -157,6 +163,31 @@ def cdc_chunk_invariants(spark, sf_dir):
     return joined.groupBy("path").agg(F.sum("length").alias("bytes"), F.min(F.col("chunk_offset") == F.col("expected")).alias("contiguous"), F.min(fine).alias("within_bounds"))
 
 
+@query("SELECT doc_id AS path, doc_id % 5 <> 0 OR text = '' AS matches FROM documents WHERE text IS NOT NULL")
+def files_against_manifests(spark, sf_dir):
+    """Texts cut by content and read again by place; in every fifth a blank has come in front, so that it isn't what its manifest says."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("path"), F.col("text").cast("binary").alias("content"))
+    moved = F.when((F.col("path") % 5 == 0) & (F.octet_length("content") > 0), F.concat(F.lit(b" "), "content")).otherwise(F.col("content"))
+    return delta.files_match(docs.withColumn("content", moved), content_chunks(docs, profile=SMALL))
+
+
+@query(_AT + f""", d AS (SELECT path, CASE WHEN ascii(path[-5:]) % 11 = 0 THEN 2 ELSE 1 END AS version, CASE WHEN ascii(path[-6:]) % 7 = 0 THEN 0 ELSE sum(length) + CASE WHEN ascii(path[-7:]) % 5 = 0 THEN 1 ELSE 0 END END AS size FROM ext GROUP BY path
+   UNION ALL SELECT 'none/' || n_nationkey, 1, CASE WHEN n_nationkey % 2 = 0 THEN 0 ELSE 5 END FROM nation),
+ f AS (SELECT path, bool_or(chunk_offset <> expected) AS gap, bool_or(length <= 0) AS empty_chunk, bool_or(length > {HIGH}) AS long, max(idx) + 1 <> count(*) AS index_gap, CAST(sum(length) AS BIGINT) AS total FROM placed GROUP BY ALL), t AS (SELECT path, bool_or(d) AS twice FROM (SELECT path, hash, min(length) <> max(length) AS d FROM ext GROUP BY ALL) GROUP BY ALL)
+SELECT path, issue FROM (SELECT d.path, CASE WHEN version <> 1 THEN 'version' WHEN size = 0 AND f.path IS NOT NULL THEN 'chunks_for_empty_file' WHEN size = 0 AND ends_with(d.path, '4') THEN 'empty_hash' WHEN size <> 0 AND f.path IS NULL THEN 'missing_chunks'
+  WHEN long THEN 'chunk_too_long' WHEN empty_chunk THEN 'empty_chunk' WHEN gap THEN 'gap' WHEN index_gap THEN 'index_gap' WHEN twice THEN 'length_differs' WHEN coalesce(total, 0) <> size THEN 'size' END AS issue FROM d LEFT JOIN f ON f.path = d.path LEFT JOIN t ON t.path = d.path) WHERE issue IS NOT NULL""")
+def manifest_rules(spark, sf_dir):
+    """Manifests with what they declare, some wrongly, and some of files without a chunk."""
+    ext = extents(spark, sf_dir)
+    at = lambda n: F.ascii(F.substring("path", -n, n))
+    total = ext.groupBy("path").agg(F.sum("length").alias("_s"))
+    declared = total.select("path", F.when(at(5) % 11 == 0, 2).otherwise(1).alias("version"), F.when(at(6) % 7 == 0, 0).otherwise(F.col("_s") + F.when(at(7) % 5 == 0, 1).otherwise(0)).alias("size"), F.lit("00").alias("file_hash"))
+    k = F.col("n_nationkey")
+    path = F.concat(F.lit("none/"), k.cast("string"))
+    empty = table(spark, sf_dir, "nation").select(path.alias("path"), F.lit(1).alias("version"), F.when(k % 2 == 0, 0).otherwise(5).alias("size"), F.when(F.endswith(path, F.lit("4")), "00").otherwise(delta.EMPTY).alias("file_hash"))
+    return delta.declared_issues(declared.unionByName(empty), ext, HIGH)
+
+
 @query(None)
 def content_chunk_sharing(spark, sf_dir):
     """How many chunks, and how many different ones, the texts have when they are cut by content."""

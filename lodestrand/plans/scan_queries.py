@@ -17,6 +17,26 @@ from .relations import LATEST, RECORDS, STEPS, latest, records, sql_tidy, steps
 query = Registry()
 KEYS = ["folder", "snap_no", "path"]
 
+_OWN = "sha256('state|' || coalesce(kind, '-') || '|' || coalesce(size::VARCHAR, '-') || '|' || coalesce(content_hash, '-') || '|' || CASE WHEN readonly THEN '1' ELSE '0' END || '|' || CASE WHEN tombstone THEN '1' ELSE '0' END)"
+
+
+def _tree_sql(source: str, prefix: str, group: str) -> str:
+    """Every prefix with the word-wise sum of the digests below it."""
+    g = ", ".join(group.split())
+    words = ", ".join(f"('0x' || substring(d, {8 * i + 1}, 8))::BIGINT AS w{i}" for i in range(8))
+    text = " || ".join(f"lpad(to_hex(CAST(sum(w{i}) % 4294967296 AS BIGINT)), 8, '0')" for i in range(8))
+    return f"""{prefix}leaf AS (SELECT {g}, path, own_hash, {words} FROM (SELECT *, sha256('node|' || path || '|' || own_hash) AS d FROM (SELECT {g}, path, {_OWN} AS own_hash FROM {source}))),
+ {prefix}spots AS (SELECT *, array_to_string(string_split(path, '/')[1:i], '/') AS prefix, i AS depth FROM (SELECT *, unnest(range(0, len(string_split(path, '/')) + 1)) AS i FROM {prefix}leaf)),
+ {prefix}tree AS (SELECT {g}, prefix, CASE WHEN depth = 0 THEN NULL WHEN contains(prefix, '/') THEN regexp_replace(prefix, '/[^/]*$', '') ELSE '' END AS parent, depth, max(own_hash) FILTER (prefix = path AND depth > 0) AS own_hash,
+   lower({text}) AS hash, count(*) AS record_count FROM {prefix}spots GROUP BY {g}, prefix, depth)"""
+
+
+_TREE = f"WITH {LATEST}, {_tree_sql('latest', '', 'folder')} "
+
+
+_TREE_ROOTS = _TREE + "SELECT folder, hash AS root_hash, record_count FROM tree WHERE depth = 0"
+
+
 _MATCH = " AND ".join(f"p.{f} IS NOT DISTINCT FROM c.{f}" for f in ("kind", "id_namespace", "id_object", "size", "modified_ns", "readonly", "content_hash"))
 
 
@@ -183,12 +203,18 @@ def commit_delta(spark, sf_dir):
     return scan.state_delta(*steps(spark, sf_dir), KEYS, ("kind", "size", "content_hash"))
 
 
-@query(f"WITH {LATEST} SELECT folder, count(*) FILTER (NOT tombstone) AS live, count(*) FILTER (tombstone) AS tombstones, count(*) FILTER (NOT tombstone AND kind = 'file') AS files, CAST(coalesce(sum(size) FILTER (NOT tombstone AND kind = 'file'), 0) AS BIGINT) AS bytes FROM latest GROUP BY ALL")
+@query(f"WITH {LATEST} SELECT folder, count(*) FILTER (NOT tombstone) AS live, count(*) FILTER (tombstone) AS tombstones, count(*) FILTER (NOT tombstone AND kind = 'file') AS files, CAST(coalesce(sum(size) FILTER (NOT tombstone AND kind = 'file'), 0) AS BIGINT) AS bytes, count(*) FILTER (generation % 5 = 0) AS retries FROM latest GROUP BY ALL")
 def inventory(spark, sf_dir):
-    file = ~F.col("tombstone") & (F.col("kind") == "file")
-    return latest(spark, sf_dir).groupBy("folder").agg(
-        F.count_if(~F.col("tombstone")).alias("live"), F.count_if(F.col("tombstone")).alias("tombstones"), F.count_if(file).alias("files"), F.coalesce(F.sum(F.when(file, F.col("size"))), F.lit(0)).alias("bytes")
-    )
+    rows = latest(spark, sf_dir)
+    return scan.inventory(rows, rows.where("generation % 5 = 0").select("folder", "path"), ["folder"])
+
+
+@query(_TREE_ROOTS)
+def snapshot_precondition(spark, sf_dir):
+    """Every folder's last snapshot read again before it would be changed; had it another root or number of rows, this would be an error."""
+    rows = latest(spark, sf_dir)
+    expected = cut(merkle.roots(rows, ["folder"], R.state_hash()))
+    return merkle.checked_snapshot(rows, ["folder"], R.state_hash(), expected)
 
 
 @query("SELECT folder, snap_no, path, count(*) AS n FROM index_records WHERE path IS NOT NULL AND folder IS NOT NULL AND snap_no IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
@@ -218,14 +244,14 @@ def metadata_fingerprints(spark, sf_dir):
     )
 
 
-@query(f"WITH {STEPS} SELECT c.folder, c.snap_no, c.path, coalesce(p.modified_ns = c.modified_ns, false) AS time_reliable, p.kind IS NOT DISTINCT FROM c.kind AND p.size IS NOT DISTINCT FROM c.size AND p.readonly IS NOT DISTINCT FROM c.readonly AND coalesce(p.modified_ns = c.modified_ns, false) AND coalesce(p.id_namespace = c.id_namespace AND p.id_object = c.id_object, false) AS trusted FROM cur c JOIN prev p ON p.folder = c.folder AND p.snap_no = c.snap_no AND p.path = c.path")
+@query(f"""WITH {STEPS} SELECT c.folder, c.snap_no, c.path, coalesce(p.modified_ns = c.modified_ns, false) AS time_reliable, coalesce(p.modified_ns = c.modified_ns, false) AND p.size IS NOT DISTINCT FROM c.size AND p.readonly IS NOT DISTINCT FROM c.readonly AND p.content_hash IS NOT DISTINCT FROM c.content_hash
+ AND p.id_namespace IS NOT DISTINCT FROM c.id_namespace AND p.id_object IS NOT DISTINCT FROM c.id_object AS trusted FROM cur c JOIN prev p ON p.folder = c.folder AND p.snap_no = c.snap_no AND p.path = c.path""")
 def trusted_observations(spark, sf_dir):
+    """The earlier row as the observation, the later one as metadata and as record; its time of modification also stands for that of change."""
     previous, current = steps(spark, sf_dir)
-    fields = ("kind", "size", "readonly", "modified_ns", "id_namespace", "id_object")
+    fields = ("size", "readonly", "modified_ns", F.col("modified_ns").alias("changed_ns"), "id_namespace", "id_object", "content_hash")
     both = scan.joined(previous, current, KEYS, fields).where("p.here AND c.here")
-    time = R.both_known_and_equal(F.col("p.modified_ns"), F.col("c.modified_ns"))
-    identity = F.coalesce((F.col("p.id_namespace") == F.col("c.id_namespace")) & (F.col("p.id_object") == F.col("c.id_object")), F.lit(False))
-    return both.select(*KEYS, time.alias("time_reliable"), (R.same("p", "c", ("kind", "size", "readonly")) & time & identity).alias("trusted"))
+    return both.select(*KEYS, R.both_known_and_equal(F.col("p.modified_ns"), F.col("c.modified_ns")).alias("time_reliable"), R.trusts("p", "c", "c").alias("trusted"))
 
 
 @query("""WITH e AS (SELECT user_id, event_id, ts, event_type = 'error' AS failed FROM events), g AS (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM e)
@@ -274,29 +300,12 @@ def conflict_names(spark, sf_dir):
     return latest(spark, sf_dir).select("path").distinct().select("path", P.conflict_path(F.col("path"), F.lit("abc123")).alias("copy"))
 
 
-_OWN = "sha256('state|' || coalesce(kind, '-') || '|' || coalesce(size::VARCHAR, '-') || '|' || coalesce(content_hash, '-') || '|' || CASE WHEN readonly THEN '1' ELSE '0' END || '|' || CASE WHEN tombstone THEN '1' ELSE '0' END)"
-
-
-def _tree_sql(source: str, prefix: str, group: str) -> str:
-    """Every prefix with the word-wise sum of the digests below it."""
-    g = ", ".join(group.split())
-    words = ", ".join(f"('0x' || substring(d, {8 * i + 1}, 8))::BIGINT AS w{i}" for i in range(8))
-    text = " || ".join(f"lpad(to_hex(CAST(sum(w{i}) % 4294967296 AS BIGINT)), 8, '0')" for i in range(8))
-    return f"""{prefix}leaf AS (SELECT {g}, path, own_hash, {words} FROM (SELECT *, sha256('node|' || path || '|' || own_hash) AS d FROM (SELECT {g}, path, {_OWN} AS own_hash FROM {source}))),
- {prefix}spots AS (SELECT *, array_to_string(string_split(path, '/')[1:i], '/') AS prefix, i AS depth FROM (SELECT *, unnest(range(0, len(string_split(path, '/')) + 1)) AS i FROM {prefix}leaf)),
- {prefix}tree AS (SELECT {g}, prefix, CASE WHEN depth = 0 THEN NULL WHEN contains(prefix, '/') THEN regexp_replace(prefix, '/[^/]*$', '') ELSE '' END AS parent, depth, max(own_hash) FILTER (prefix = path AND depth > 0) AS own_hash,
-   lower({text}) AS hash, count(*) AS record_count FROM {prefix}spots GROUP BY {g}, prefix, depth)"""
-
-
-_TREE = f"WITH {LATEST}, {_tree_sql('latest', '', 'folder')} "
-
-
 @query(_TREE + "SELECT folder, prefix, parent, depth, own_hash, hash, record_count FROM tree")
 def merkle_nodes(spark, sf_dir):
     return merkle.nodes(latest(spark, sf_dir), ["folder"], R.state_hash())
 
 
-@query(_TREE + "SELECT folder, hash AS root_hash, record_count FROM tree WHERE depth = 0")
+@query(_TREE_ROOTS)
 def merkle_root(spark, sf_dir):
     return merkle.roots(latest(spark, sf_dir), ["folder"], R.state_hash())
 

@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..operators.delta import shard
+from ..functions.pyfuncs import content_chunks
+from ..operators.delta import chunk_contents, shard
 from ..operators.scan import state_delta
-from ..runtime import Folder
+from ..runtime import Folder, cut
 
 
 def _fs(spark: SparkSession, path: str):
@@ -186,6 +187,16 @@ class ChunkStore:
             new.unpersist()
         return count
 
+    def ingest(self, files: DataFrame, admitted_bytes: int, profile: tuple[int, int, int] | None = None) -> DataFrame:
+        """Cut files (path, content) by content, store what is new, and give their extents; if the new chunks have more than the admitted bytes, nothing is stored."""
+        extents = cut(content_chunks(files, profile=profile))
+        lost = extents.select("hash", "length").distinct().join(self.rows().select("hash"), "hash", "left_anti")
+        needed = lost.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+        if needed > admitted_bytes:
+            raise ValueError(f"{needed} bytes are new, {admitted_bytes} are admitted")
+        self.put(chunk_contents(files, extents).join(lost.select("hash"), "hash", "left_semi").select("hash", "content"))
+        return extents
+
     def get(self, hashes: DataFrame, most: int) -> DataFrame:
         """Verified chunks of at most so many bytes; the shards asked for prune the folders."""
         asked = hashes.select(F.lower("hash").alias("hash")).distinct().withColumn("shard", shard(F.col("hash")))

@@ -169,3 +169,15 @@ def test_catalogue(spark, tmp_path):
     assert c.update(lambda d: d | {"b": 2}) == {"a": 1, "b": 2} == tables.Catalogue(spark, os.fspath(tmp_path / "cat")).read()
     with pytest.raises(ValueError, match="too large"):
         c.update(lambda d: d | {"x": "y" * 200})
+
+
+def test_ingest(spark, tmp_path):
+    store = tables.ChunkStore(spark, os.fspath(tmp_path / "cas2"))
+    df = spark.createDataFrame([("a", b"x" * 5000), ("b", b"y" * 10), ("n", None)], "path string, content binary")
+    with pytest.raises(ValueError, match="are admitted"):
+        store.ingest(df, 10, (64, 256, 1024))
+    assert store.rows().count() == 0
+    extents = store.ingest(df, 10_000, (64, 256, 1024))
+    assert extents.where("path = 'a'").agg({"length": "sum"}).first()[0] == 5000
+    assert store.ingest(df, 0, (64, 256, 1024)).count() == extents.count()
+    assert store.get(extents, 2000).count() == extents.select("hash").distinct().count()
