@@ -9,7 +9,7 @@ from ..functions import records as R
 from ..functions.pyfuncs import content_chunks
 from ..functions.text import digest_bytes
 from ..operators import delta, exchange, swarm
-from ..runtime import table
+from ..runtime import spread, table
 from .registry import Registry
 from .relations import EXTENTS, MANIFESTS, STORED, extents, sql_key, stored
 
@@ -129,7 +129,7 @@ _LINES = "lines AS (SELECT doc_id, i - 1 AS idx, ls[i] AS line FROM (SELECT doc_
 
 
 def _lines(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    docs = spread(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text"))
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "line"))
 
 
@@ -154,7 +154,7 @@ def materialise_check(spark, sf_dir):
 
 @query("SELECT doc_id AS path, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, true AS contiguous, true AS within_bounds FROM documents WHERE text <> ''")
 def cdc_chunk_invariants(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("path"), F.col("text").cast("binary").alias("content"))
+    docs = spread(table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("path"), F.col("text").cast("binary").alias("content")))
     chunks = content_chunks(docs, profile=SMALL)
     at = delta.contiguity(chunks)
     last = at.groupBy("path").agg(F.max("idx").alias("_last"))
@@ -166,7 +166,7 @@ def cdc_chunk_invariants(spark, sf_dir):
 @query("SELECT doc_id AS path, doc_id % 5 <> 0 OR text = '' AS matches FROM documents WHERE text IS NOT NULL")
 def files_against_manifests(spark, sf_dir):
     """Texts cut by content and read again by place; in every fifth a blank has come in front, so that it isn't what its manifest says."""
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("path"), F.col("text").cast("binary").alias("content"))
+    docs = spread(table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("path"), F.col("text").cast("binary").alias("content")))
     moved = F.when((F.col("path") % 5 == 0) & (F.octet_length("content") > 0), F.concat(F.lit(b" "), "content")).otherwise(F.col("content"))
     return delta.files_match(docs.withColumn("content", moved), content_chunks(docs, profile=SMALL))
 
@@ -191,7 +191,7 @@ def manifest_rules(spark, sf_dir):
 @query(None)
 def content_chunk_sharing(spark, sf_dir):
     """How many chunks, and how many different ones, the texts have when they are cut by content."""
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("path"), F.col("text").cast("binary").alias("content"))
+    docs = spread(table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("path"), F.col("text").cast("binary").alias("content")))
     per_hash = content_chunks(docs, profile=SMALL).groupBy("hash").agg(F.count("*").alias("n"))
     return per_hash.agg(F.sum("n").alias("chunks"), F.count("*").alias("different"))
 
