@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.display import source_cost_ms
-from ..runtime import materialise
+from ..runtime import cut, materialise
 from .ranking import number_rows
 
 
@@ -51,10 +51,14 @@ class Limits:
     max_assignments: int = 64
 
 
+#: Hashes of a round, in assignments: more make fewer rounds of more offers.
+BATCH = 4
+
+
 def greedy_schedule(missing: DataFrame, availability: DataFrame, peers: DataFrame, limits: Limits = Limits(), group: str = "job") -> DataFrame:
     """(group, seq, hash, peer): rarest first, each from its cheapest provider that has room.
 
-    All hashes are gone through, in rounds. A round takes each group's next max_assignments hashes that a provider with
+    All hashes are gone through, in rounds. A round takes each group's next BATCH * max_assignments hashes that a provider with
     room holds; what it passes over has none, and never will have, since peers only fill up and sources only get fixed.
     A group stops when it has max_assignments, or has no such hash left. Whoever isn't a source yet is chosen only as
     cheapest of a hash, so a round needs, of each of its hashes, those peers that are sources or among the max_sources
@@ -70,6 +74,8 @@ def greedy_schedule(missing: DataFrame, availability: DataFrame, peers: DataFram
     if min(limits.max_sources, limits.max_chunks_per_peer, limits.max_assignments) < 1:
         return state.select(group, "seq", "hash", "peer")
 
+    batch = BATCH * limits.max_assignments
+
     def assign(so_far: pd.DataFrame, offered: pd.DataFrame) -> pd.DataFrame:
         so_far = so_far.sort_values("seq")
         used: dict = {}
@@ -88,7 +94,7 @@ def greedy_schedule(missing: DataFrame, availability: DataFrame, peers: DataFram
             hashes, last = hashes + 1, (n, h)
         if not hashes:
             return so_far.assign(_open=False)
-        goes_on = hashes == limits.max_assignments and len(rows) < limits.max_assignments
+        goes_on = hashes == batch and len(rows) < limits.max_assignments
         name = offered[group].iloc[0]
         return pd.DataFrame([(name, i, h, p, *last, goes_on) for i, (h, p) in enumerate(rows)], columns=so_far.columns)
 
@@ -96,8 +102,8 @@ def greedy_schedule(missing: DataFrame, availability: DataFrame, peers: DataFram
     feasible, used = rated, None
     while True:
         first = F.row_number().over(Window.partitionBy(group).orderBy("providers", "hash"))
-        rare = feasible.select(group, "providers", "hash").distinct().withColumn("_r", first).where(F.col("_r") <= limits.max_assignments)
-        offered = feasible.join(rare.select(group, "hash"), [group, "hash"], "left_semi")
+        rare = feasible.select(group, "providers", "hash").distinct().withColumn("_r", first).where(F.col("_r") <= batch)
+        offered = cut(feasible.join(rare.select(group, "hash"), [group, "hash"], "left_semi"))  # the few offers that the round is about
         near = F.row_number().over(Window.partitionBy(group, "hash").orderBy("cost", "peer"))
         able = offered.withColumn("_n", near).where(F.col("_n") <= limits.max_sources).select(group, "peer")
         able = (able.unionByName(used) if used is not None else able).distinct()
