@@ -109,14 +109,18 @@ def counter_assignment(spark, sf_dir):
 _FIELDS = ("kind", "id_namespace", "id_object", "size", "modified_ns", "readonly", "content_hash")
 
 
+def _shown(side, field):
+    return f"{side}.{field}::VARCHAR AS {field}" if field == "modified_ns" else f"{side}.{field}"
+
+
 @query(_CHANGES + f""", {_ORDERED}, marks AS (SELECT folder, snap_no, coalesce(to_path, path) AS path, change <> 'deleted' AS stays, counter FROM counted UNION ALL SELECT folder, snap_no, path, false, counter FROM counted WHERE change = 'renamed')
-SELECT m.folder, m.snap_no, m.path, {', '.join(f'c.{f}' for f in _FIELDS)}, false AS tombstone, m.counter AS version FROM marks m JOIN cur c ON c.folder = m.folder AND c.snap_no = m.snap_no AND c.path = m.path WHERE stays AND NOT c.tombstone
-UNION ALL SELECT p.folder, p.snap_no, p.path, {', '.join(f'p.{f}' for f in _FIELDS)}, p.tombstone OR m.counter IS NOT NULL, coalesce(m.counter, p.generation, 0) FROM prev p LEFT JOIN marks m ON p.folder = m.folder AND p.snap_no = m.snap_no AND p.path = m.path WHERE m.stays IS NOT TRUE""")
+SELECT m.folder, m.snap_no, m.path, {', '.join(_shown('c', f) for f in _FIELDS)}, false AS tombstone, m.counter AS version FROM marks m JOIN cur c ON c.folder = m.folder AND c.snap_no = m.snap_no AND c.path = m.path WHERE stays AND NOT c.tombstone
+UNION ALL SELECT p.folder, p.snap_no, p.path, {', '.join(_shown('p', f) for f in _FIELDS)}, p.tombstone OR m.counter IS NOT NULL, coalesce(m.counter, p.generation, 0) FROM prev p LEFT JOIN marks m ON p.folder = m.folder AND p.snap_no = m.snap_no AND p.path = m.path WHERE m.stays IS NOT TRUE""")
 def scan_commit(spark, sf_dir):
     """The whole scan as one job: changes with renames, counters, and the index that is stored after it."""
     previous, current = _steps(spark, sf_dir)
     numbered = scan.counter_assignment(scan.scan_changes(previous, current, KEYS), ["folder", "snap_no"], F.col("snap_no") * 2)
-    return scan.next_records(previous, current, numbered, KEYS)
+    return scan.next_records(previous, current, numbered, KEYS).withColumn("modified_ns", F.col("modified_ns").cast("string"))
 
 
 @query(_CHANGES + ", named AS (SELECT folder, snap_no, path, change FROM ch WHERE change NOT IN ('unchanged', 'preserved')) SELECT *, row_number() OVER (PARTITION BY folder ORDER BY snap_no, path, change) AS position FROM named")
