@@ -38,19 +38,20 @@ def test_a_pass_brings_both_sides_together(spark):
     assert syncpass.require(done.report).count() == 1
 
 
-@pytest.mark.parametrize(
-    ("left", "right", "why"),
-    [
+def test_gates_stop_a_pass(spark):
+    cases = [
         ([("A", "file", "x", False, "l=1")], [("a", "file", "y", False, "r=1")], "namespace"),
         ([("dir", "directory", None, True, "l=1")], [("dir/x", "file", "y", False, "r=1")], "namespace"),
         ([("a", "file", "x", False, "l=1")], [("b", "file", "y", False, "me=7,r=1")], "counter"),
         ([], [("s", "symlink", None, False, "r=1")], "namespace"),
-    ],
-)
-def test_gates_stop_a_pass(spark, left, right, why):
-    report = run(spark, rows(spark, left), rows(spark, right)).report
-    assert report.first()["status"] == why
-    with pytest.raises(Exception, match=why):
+        ([("a", "file", "x", False, "l=1")], [("b", "file", "y", False, "r=1")], "pass"),
+    ]
+    sides = [rows(spark, []), rows(spark, [])]
+    for n, case in enumerate(cases):
+        sides = [s.unionByName(rows(spark, c, n)) for s, c in zip(sides, case, strict=False)]
+    report = run(spark, *sides).report
+    assert {r["pass_id"]: r["status"] for r in report.collect()} == {n: c[2] for n, c in enumerate(cases)}
+    with pytest.raises(Exception, match="stopped by its gate"):
         syncpass.require(report).collect()
 
 
