@@ -11,12 +11,23 @@ _UNITS = ("KiB", "MiB", "GiB", "TiB", "PiB", "EiB")
 _LONG_MAX = (1 << 63) - 1
 
 
-def format_bytes(n: Column) -> Column:
-    out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" bytes")))
-    for k, unit in enumerate(_UNITS, 1):
-        text = F.concat(F.format_string("%.1f", n / F.lit(float(1024**k))), F.lit(f" {unit} ("), n.cast("string"), F.lit(" bytes)"))
-        out = out.otherwise(text) if k == len(_UNITS) else out.when(n < float(1024 ** (k + 1)), text)
-    return out
+def _one_decimal(x: Column) -> Column:
+    """A double from 1 below 2^63 with one decimal, as Rust, C and DuckDB print it: by its exact value, ties to even. Java's ``%.1f`` rounds its shortest digits, ties up."""
+    whole = F.floor(x)
+    part = ((x - whole) * float(1 << 52)).cast("bigint") * 10  # exact: a double from 1 on has at most 52 binary places
+    tenth, rest, half = F.shiftright(part, 52), part.bitwiseAND(F.lit((1 << 52) - 1)), 1 << 51
+    tenth = tenth + F.when((rest > half) | ((rest == half) & (tenth % 2 == 1)), 1).otherwise(0)
+    return F.concat((whole + F.when(tenth == 10, 1).otherwise(0)).cast("string"), F.lit("."), (tenth % 10).cast("string"))
+
+
+def format_bytes(n: Column, units: tuple[str, ...] = _UNITS) -> Column:
+    """Bytes, and from 1024 on the greatest of the units that isn't above them; n: whole numbers, decimals too, since a size may be beyond a bigint."""
+    size = n.cast("double")
+    scale, unit = F.lit(1024.0), F.lit(units[0])
+    for k, name in enumerate(units[1:], 2):
+        scale, unit = (F.when(size >= float(1024**k), value).otherwise(below) for value, below in ((float(1024**k), scale), (name, unit)))
+    text = F.concat(_one_decimal(size / scale), F.lit(" "), unit, F.lit(" ("), n.cast("string"), F.lit(" bytes)"))
+    return F.when(size < 1024, F.concat(n.cast("string"), F.lit(" bytes"))).otherwise(text)
 
 
 def ago(seconds: Column) -> Column:

@@ -181,8 +181,9 @@ _N = "(SELECT p_partkey, CAST(p_partkey AS BIGINT) * p_partkey * p_partkey * (p_
 
 @query(f"SELECT p_partkey, CASE WHEN n < 1024 THEN n || ' bytes' WHEN n < 1048576 THEN printf('%.1f', n / 1024.0::DOUBLE) || ' KiB (' || n || ' bytes)' WHEN n < 1073741824 THEN printf('%.1f', n / 1048576.0::DOUBLE) || ' MiB (' || n || ' bytes)' ELSE printf('%.1f', n / 1073741824.0::DOUBLE) || ' GiB (' || n || ' bytes)' END AS shown FROM {_N}")
 def format_bytes(spark, sf_dir):
-    k = F.col("p_partkey").cast("bigint")
-    return table(spark, sf_dir, "part").select("p_partkey", D.format_bytes(k * k * k * (F.col("p_size") % 7 + 1)).alias("shown"))
+    k = F.col("p_partkey").cast("decimal(20,0)")  # as bigint the product overflows from key 1,096,303 on
+    sizes = table(spark, sf_dir, "part").select("p_partkey", (k * k * k * (F.col("p_size") % 7 + 1)).alias("n"))
+    return sizes.select("p_partkey", D.format_bytes(F.col("n"), ("KiB", "MiB", "GiB")).alias("shown"))
 
 
 @query("SELECT p_partkey, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN s // 60 || ' min ago' WHEN s < 86400 THEN s // 3600 || ' h ago' ELSE s // 86400 || ' d ago' END AS shown FROM (SELECT p_partkey, p_partkey * 311 AS s FROM part)")

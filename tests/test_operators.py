@@ -295,6 +295,30 @@ def test_display(spark):
     assert got == ["0 bytes", "1023 bytes", "1.0 KiB (1024 bytes)", "1.5 KiB (1536 bytes)", f"5.0 TiB ({5 << 40} bytes)"]
 
 
+def test_bytes_of_any_size(spark, tmp_path):
+    """Ties go to even, sizes go beyond a bigint, the query's greatest unit is its SQL's."""
+    from decimal import Decimal
+
+    from lodestrand.plans.catalogue import QUERIES
+
+    def plain(n, units):
+        amount, unit = float(n), ""
+        for unit in units:
+            amount /= 1024
+            if amount < 1024:
+                break
+        return f"{n} bytes" if n < 1024 else f"{amount:.1f} {unit} ({n} bytes)"
+
+    sizes = [1280, 1792, 1023 * 1024 + 998, 1024**2 - 1, 163840000, 4503599680913408, 2**53 + 1, 2**60 - 1, 2**63, 2**64 - 1] + [37**k + k for k in range(12)]
+    df = spark.createDataFrame([(i, Decimal(n)) for i, n in enumerate(sizes)], "i int, n decimal(38,0)")
+    assert [r[0] for r in df.orderBy("i").select(D.format_bytes(F.col("n"))).collect()] == [plain(n, ("KiB", "MiB", "GiB", "TiB", "PiB", "EiB")) for n in sizes]
+    parts = [(k, s) for k in (0, 1, 5, 10, 16, 320, 704, 5399, 19999, 1096302, 1096303, 1199999, 36000000) for s in (1, 6, 7, 50)]
+    spark.createDataFrame([(100 * k + s, k, s) for k, s in parts], "i long, p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted(map(tuple, QUERIES["format_bytes"](spark, str(tmp_path)).collect()))
+    assert got == sorted((k, plain(k**3 * (s % 7 + 1), ("KiB", "MiB", "GiB"))) for k, s in parts)
+    assert df.select(D.format_bytes(F.lit(None).cast("bigint")).alias("x")).first()["x"] is None
+
+
 def test_numbers_over_many_files(spark):
     from lodestrand.operators.ranking import number_rows
 
