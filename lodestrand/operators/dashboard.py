@@ -44,15 +44,36 @@ def ordered_fields(df: DataFrame, report: str, keys: list[str]) -> DataFrame:
     return fields.select(*keys, "field", place.cast("bigint").alias("position"))
 
 
+#: Ids of a block, about. Two blocks give the square of it in rows, which Spark holds at once while it takes them apart.
+LINKED = 128
+
+
+def _blocks(members: DataFrame, of: str, name: str) -> DataFrame:
+    """(of, _<name>s: array): the names of each value in blocks of about LINKED, by their hashes, so that a task that runs again makes the same ones."""
+    counts = members.groupBy(of).agg(F.count("*").alias("_n"))
+    block = F.pmod(F.xxhash64(name), F.ceil(F.col("_n") / LINKED))
+    nulls = F.array_repeat(F.lit(None).cast(members.schema[name].dataType), F.count_if(F.col(name).isNull()).cast("int"))  # collect_list leaves them out
+    return members.join(counts, of).groupBy(of, block.alias(f"_{name}_block")).agg(F.concat(F.collect_list(name), nulls).alias(f"_{name}s"))
+
+
 def linked_folders(devices: DataFrame, folders: DataFrame) -> DataFrame:
-    """(device, folder) by id, by endpoint or by being allowed: three equal joins instead of one on a disjunction."""
-    f = folders.select(F.col("id").alias("folder"), "device_id", "peer_endpoint", "allowed_peers")
-    d = devices.select(F.col("id").alias("device"), "endpoint")
-    by_id = f.join(d, F.col("device_id") == F.col("device"))
-    by_endpoint = f.join(d, F.col("peer_endpoint") == F.col("endpoint"))
-    by_list = f.withColumn("allowed", F.explode("allowed_peers")).join(d, F.col("allowed") == F.col("endpoint"))
+    """(device, folder), once each, by id, by endpoint or by being allowed; ids that stand more than once, or are null, count as one.
+
+    Devices of an endpoint pair with all folders that name it, so the result grows with the square. Pairs are therefore neither shuffled nor compared:
+    an endpoint's devices and folders meet as blocks of ids, which are spread over the tasks and taken apart last. A pair could stand twice only where
+    the device has several endpoints (those pairs are made distinct) or is named by its id as well (left out there).
+    """
+    named = F.array_compact(F.concat(F.array("peer_endpoint"), F.coalesce("allowed_peers", F.array().cast("array<string>"))))
+    f = folders.groupBy(F.col("id").alias("folder")).agg(F.array_distinct(F.flatten(F.collect_list(named))).alias("_named"), F.collect_set("device_id").alias("_ids"))
+    d = devices.groupBy(F.col("id").alias("device")).agg(F.collect_set("endpoint").alias("_has"))
+    by_id = f.select("folder", "_named", F.explode("_ids").alias("_id")).join(d, F.col("_id") == F.col("device")).where(~F.arrays_overlap("_named", "_has"))
+    naming = f.select("folder", F.explode("_named").alias("endpoint"))
+    several = d.where(F.size("_has") > 1).select("device", F.explode("_has").alias("endpoint")).join(naming, "endpoint")
+    one = d.where(F.size("_has") == 1).select("device", F.col("_has")[0].alias("endpoint"))
+    met = _blocks(one, "endpoint", "device").join(_blocks(naming, "endpoint", "folder"), "endpoint").repartition("endpoint", "_device_block", "_folder_block")
+    by_endpoint = met.select("_devices", F.explode("_folders").alias("folder")).select(F.explode("_devices").alias("device"), "folder")
     pair = lambda x: x.select("device", "folder")
-    return pair(by_id).unionByName(pair(by_endpoint)).unionByName(pair(by_list)).distinct()
+    return by_endpoint.unionByName(pair(by_id)).unionByName(pair(several).distinct())
 
 
 def bounded_sections(rows: DataFrame, group: str, text: str, size: int = 8) -> DataFrame:

@@ -319,6 +319,24 @@ def test_bytes_of_any_size(spark, tmp_path):
     assert df.select(D.format_bytes(F.lit(None).cast("bigint")).alias("x")).first()["x"] is None
 
 
+def test_linked_folders(spark, monkeypatch):
+    """Repeated and null ids, devices of several endpoints, null lists; the pairs, as many as the square, aren't put through an aggregation."""
+    from lodestrand.operators import dashboard
+
+    monkeypatch.setattr(dashboard, "LINKED", 4, raising=False)
+    rng = random.Random(3)
+    end = lambda: rng.choice([None, "a", "a", "a", "b", "c", "d"])
+    devices = [(rng.choice([None, *range(30)]), end()) for _ in range(45)] + [(100, "b"), (100, "a"), (101, None)]
+    folders = [(rng.choice([None, *range(40)]), rng.choice([None, 3, 7, 100, 101, 999]), end(), rng.choice([None, [], [end()], [end(), end(), end()]])) for _ in range(60)]
+    got = dashboard.linked_folders(spark.createDataFrame(devices, "id long, endpoint string"), spark.createDataFrame(folders, "id long, device_id long, peer_endpoint string, allowed_peers array<string>"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    want = {(d, f) for f, of, peer, allowed in folders for d, e in devices if (d is not None and of == d) or (e is not None and (peer == e or e in (allowed or [])))}
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want and {None, 100, 101} <= {d for d, _ in rows}
+    assert 0 <= plan.find("Union") < plan.find("Aggregate"), plan
+    assert dashboard.linked_folders(spark.createDataFrame([], "id long, endpoint string"), spark.createDataFrame(folders, "id long, device_id long, peer_endpoint string, allowed_peers array<string>")).count() == 0
+
+
 def test_numbers_over_many_files(spark):
     from lodestrand.operators.ranking import number_rows
 
